@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .minhash import op2_minhash
+from .mixing import OP10_SQL, op10_mixing
+from .quality import op9_quality
 
-QUERIES = {"op2_minhash": op2_minhash}
+QUERIES = {"op2_minhash": op2_minhash, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
