@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .minhash import op2_minhash
 from .mixing import OP10_SQL, op10_mixing
+from .packing import op4_packing
+from .pii import op1_pii
 from .quality import op9_quality
 
-QUERIES = {"op2_minhash": op2_minhash, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_minhash": op2_minhash,
+    "op4_packing": op4_packing,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
+}
 
 ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
