@@ -213,32 +213,39 @@ class Tree:
         self.width = len(columns)
         self.log, self.next = np.ascontiguousarray(self.log[:, columns]).ravel(), (np.ascontiguousarray(self.next[:, columns]) * self.width).ravel().astype(np.int32)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.symbol, self.log, self.next
+
     def logs(self, raw: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte given those before it."""
-        n = len(raw)
-        pieces = -(-n // PIECE)
-        symbols = np.zeros(pieces * PIECE + DEPTH, np.int64)
-        symbols[DEPTH : DEPTH + n] = self.symbol[raw]
-        symbols[:DEPTH] = self.symbol[10]
-        out = np.empty((PIECE, pieces), np.float32)
-        state = np.zeros(pieces, np.int32)
-        starts = np.arange(pieces) * PIECE
-        for i in range(DEPTH + PIECE):
-            at = state + symbols[starts + i]
-            if i >= DEPTH:
-                out[i - DEPTH] = self.log[at]
-            state = self.next[at]
-        return out.T.ravel()[:n]
+        return logs(self.tables(), raw)
+
+
+def logs(tables: tuple[np.ndarray, np.ndarray, np.ndarray], raw: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte given those before it."""
+    symbol, log, step = tables
+    n = len(raw)
+    pieces = -(-n // PIECE)
+    symbols = np.full(pieces * PIECE + DEPTH, symbol[10], np.int64)
+    symbols[DEPTH : DEPTH + n] = symbol[raw]
+    out = np.empty((PIECE, pieces), np.float32)
+    state = np.zeros(pieces, np.int32)
+    starts = np.arange(pieces) * PIECE
+    for i in range(DEPTH + PIECE):
+        at = state + symbols[starts + i]
+        if i >= DEPTH:
+            out[i - DEPTH] = log[at]
+        state = step[at]
+    return out.T.ravel()[:n]
 
 
 def _scored(tree, words, total: int, kinds: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, (hot, hot_n), memo = tree.value, words.value, WordHashes()
+        tables, (hot, hot_n), memo = tree.value, words.value, WordHashes()
         row = TaskContext.get().partitionId() << 40
         below = np.log10(total + SMOOTH * (kinds + 1))
         for ids, docs in _blocks(batches):
             stream = Stream(docs)
-            byte = automaton.logs(stream.bytes).astype(np.float64)
+            byte = logs(tables, stream.bytes).astype(np.float64)
             # Behind a document's last token come the next one's marks: they add nothing.
             byte[~stream.predicted()] = 0.0
             part = np.add.reduceat(byte, stream.token)
@@ -305,7 +312,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     hot, hot_n = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(hot)
     share = (hot[order], hot_n[order])
-    parts = body.mapInArrow(_scored(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(share), total, kinds), ", ".join(f"{c} {'float' if t == pa.float32() else 'double' if t == pa.float64() else 'long'}" for c, t in _COLUMNS.items()))
+    parts = body.mapInArrow(_scored(spark.sparkContext.broadcast(tree.tables()), spark.sparkContext.broadcast(share), total, kinds), ", ".join(f"{c} {'float' if t == pa.float32() else 'double' if t == pa.float64() else 'long'}" for c, t in _COLUMNS.items()))
     parts = store(parts, "parts")
     rest = counts.filter((F.col("kind") == 0) & (F.col("n") < HOT * total)).select(F.col("key").alias("word"), "n")
     cold = parts.filter("word is not null").select("row", "word", "part").join(rest, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
