@@ -10,7 +10,6 @@ from ..errors import INVALID_HEADER, TRUNCATED_INPUT, GzipError
 
 MAGIC = b"\x1f\x8b"
 _TEXT, _HCRC, _EXTRA, _NAME, _COMMENT, _RESERVED = 1, 2, 4, 8, 16, 0xE0
-TRAILER = struct.Struct("<II")
 #: The empty BGZF block that ends a file.
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BGZF_PAYLOAD = 0xFF00
@@ -90,7 +89,7 @@ def parse_trailer(data: bytes) -> tuple[int, int]:
     """(CRC32, size modulo 2^32)."""
     if len(data) < 8:
         raise GzipError(TRUNCATED_INPUT, "file ends within a trailer")
-    return TRAILER.unpack(data[:8])
+    return struct.unpack("<II", data[:8])
 
 
 def header(block_size: int | None = None) -> bytes:
@@ -101,7 +100,7 @@ def header(block_size: int | None = None) -> bytes:
 
 
 def trailer(crc: int, size: int) -> bytes:
-    return TRAILER.pack(crc, size & 0xFFFFFFFF)
+    return struct.pack("<II", crc, size & 0xFFFFFFFF)
 
 
 def bgzf_link(head: bytes, offset: int, size: int, limit: int = 1 << 20) -> tuple[int, int] | None:
