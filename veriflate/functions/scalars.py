@@ -67,7 +67,7 @@ def parse_bool(text: Column) -> Column:
 
 def parse_list(text: Column) -> Column:
     """Comma-separated parts, trimmed, empty ones dropped, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def compression_ratio(compressed: Column, size: Column) -> Column:
