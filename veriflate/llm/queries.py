@@ -7,6 +7,7 @@ import corpus_pipeline
 from .embeddings import op8_embeddings
 from .minhash import op2_minhash
 from .mixing import OP10_SQL, op10_mixing
+from .oracles import OP2_SQL, OP5_SQL, OP8_SQL
 from .packing import op4_packing
 from .pii import op1_pii
 from .quality import op9_quality
@@ -29,4 +30,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_recompression": OP5_SQL, "op8_embeddings": OP8_SQL, "op10_mixing": OP10_SQL}
