@@ -8,11 +8,15 @@ to the other members, so a bucket of n documents costs n - 1 pairs, not n^2.
 Every candidate is confirmed on the full shingle sets.
 
 A star alone could miss a link between two members of which neither is like
-the hub. So a hub leaves its bucket once all its pairs there were tested, and
-buckets whose members still carry more than one component label are played
-again with new hubs taken from the labels other than the bucket's largest. The
-rounds end when no bucket holds two labels: every pair that shares a bucket is
-then either tested or already connected.
+the hub. So each bucket has HUBS stars, and the buckets whose members still
+carry more than one component label after that are played out: each member
+outside the bucket's largest label meets the members with other labels, if the
+sizes and bitmaps allow a link at all. A bitmap holds the parity of the shingles
+that hash to each bit, with at least BITS bits a shingle: sets that differ in d
+shingles differ in at most d bits, so that the bits bound the intersection from
+above without loss, closely enough to rule out nearly all pairs of edited
+copies that are not alike enough. After that every pair that shares a bucket is
+tested, connected, or ruled out.
 
 At similarity 0.75 a pair shares no bucket with probability
 (1 - 0.75^4)^32 = 5e-6; copies of one set are collapsed to one representative
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_docs, drop, mix, small, store, table, window_hashes, word_hashes
@@ -44,8 +48,10 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
-#: Hubs that one bucket may play in one further round.
-HUBS = 12
+#: Stars of a bucket: one at its smallest id, the others at members picked by hash.
+HUBS = 4
+#: Bits of a bitmap for each shingle, up to the next power of two.
+BITS = 8
 #: First attempts of densification that are tabulated; later ones are hashed.
 _ATTEMPTS = 512
 
@@ -120,11 +126,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parity of the shingles at each bit, as 64-bit numbers."""
+    size = 1 << max(6, (BITS * len(found) - 1).bit_length())
+    odd = np.bincount((mix(found) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = WordHashes()
     for batch in batches:
-        found = [shingles(body.as_py(), memo).view(np.int64) for body in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "items"])
+        found = [shingles(body.as_py(), memo) for body in batch.column(1)]
+        longs = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *longs], names=["id", "items", "bits"])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -135,6 +149,20 @@ def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(f"100 * i >= {PERCENT} * (p + q - i)").select("a", "b")
 
 
+def _apart(x: str, y: str) -> Column:
+    """Bits in which two bitmaps differ; sizes differ by a factor of two at most, the larger one is folded."""
+
+    def count(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+
+    def fold(a: Column) -> Column:
+        half = (F.size(a) / 2).cast("int")
+        return F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    a, b = F.col(x), F.col(y)
+    return F.when(F.size(a) == F.size(b), count(a, b)).when(F.size(a) > F.size(b), count(fold(a), b)).otherwise(count(a, fold(b)))
+
+
 def _fits(p: str, q: str):
     """Sizes that can still reach the similarity."""
     return 100 * F.least(p, q) >= PERCENT * F.greatest(p, q)
@@ -151,37 +179,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     drop(marks)
     rows = docs_in.filter("bands is not null").select("rep", "n", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("b", "hub")
-    members = store(rows.join(shared, "b").groupBy("b", "rep").agg(F.max("n").alias("n"), F.max("hub").alias("hub")), "members")
+    shared = rows.groupBy("b").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("b")
+    members = store(rows.join(shared, "b", "left_semi").groupBy("b", "rep").agg(F.max("n").alias("n")), "members")
     need = members.select("rep").distinct()
-    sets = store(body.join(small(need), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "id long, items array<long>"), "sets")
+    sets = store(body.join(small(need), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "id long, items array<long>, bits array<long>"), "sets")
 
-    hubs = members.filter("rep = hub").select("b", F.col("n").alias("hub_n"))
-    edges = members.filter("rep <> hub").join(hubs, "b").filter(_fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    picks = [F.min_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.xxhash64("rep", F.lit(i))) for i in range(1, HUBS)]
+    first = F.min(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
+    hubs = members.groupBy("b").agg(F.array_distinct(F.array(first, *picks)).alias("hubs")).select("b", F.explode("hubs").alias("h")).select("b", "h.*")
+    edges = members.join(hubs, "b").filter("rep <> hub").filter(_fits("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = store(_confirmed(edges, sets), "links")
+    roots = components(links)
+
     # Buckets with the same members are one bucket from here on.
-    left = members.filter("rep <> hub").select("b", "rep", "n")
-    same = left.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).filter("size > 1").groupBy("size", "sum").agg(F.min("b").alias("b")).select("b")
-    live = store(left.join(same, "b", "left_semi"), "live")
+    same = members.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).filter("size > 2").groupBy("size", "sum").agg(F.min("b").alias("b")).select("b")
+    named = members.join(same, "b", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("b", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    sizes = named.groupBy("b", "label").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("b").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major")).filter("labels > 1").select("b", "major")
+    live = store(named.join(major, "b"), "live")
     drop(members)
-    while True:
-        roots = components(links)
-        named = live.join(roots, F.col("rep") == F.col("node"), "left").select("b", "rep", "n", F.coalesce("root", "rep").alias("label"))
-        sizes = named.groupBy("b", "label").agg(F.count("*").alias("size"))
-        major = sizes.groupBy("b").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major")).filter("labels > 1").select("b", "major")
-        live_next = store(named.join(major, "b"), "live")
-        drop(live)
-        live = live_next
-        if live.isEmpty():
-            break
-        picks = [F.min_by(F.struct("rep", "n", "label"), F.xxhash64("rep", F.lit(i))) for i in range(HUBS)]
-        chosen = live.filter("label <> major").groupBy("b").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select("b", F.explode("hubs").alias("h"))
-        chosen = store(chosen.select("b", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label")), "hubs")
-        edges = live.join(chosen, "b").filter("label <> hub_label").filter(_fits("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        grown = store(links.union(_confirmed(edges, sets)).distinct(), "links")
-        rest = store(live.join(chosen.select("b", F.col("hub").alias("rep")), ["b", "rep"], "left_anti").select("b", "rep", "n"), "live")
-        drop(links, live, chosen)
-        links, live = grown, rest
+    live_bits = store(live.join(sets.select("id", "bits"), F.col("rep") == F.col("id")).drop("id"), "bits")
+    drop(live)
+    outer = live_bits.filter("label <> major").select("b", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("label").alias("label2"))
+    most = (F.col("n") + F.col("n2") - _apart("bits", "bits2")) / 2
+    could = (F.col("label") != F.col("label2")) & _fits("n", "n2") & (100 * most >= PERCENT * (F.col("n") + F.col("n2") - most))
+    both = live_bits.alias("x").join(outer.alias("y"), (F.col("x.b") == F.col("y.b")) & could)
+    edges = both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    final = store(links.union(_confirmed(edges, sets)).distinct(), "links")
+    drop(links, live_bits)
+    roots = components(final)
     drop(sets)
     out = docs_in.select("doc_id", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
