@@ -50,6 +50,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/') if base else 'file://' + tempfile.gettempdir()}/veriflate-{uuid.uuid4().hex}"
 
 
@@ -301,12 +303,13 @@ def s03_member_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("source", "doc_id", "packed")
 
     def put(batches):
-        import os
+        from pyarrow import fs
 
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder)
         for batch in batches:
             for source, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                os.makedirs(path.removeprefix("file://"), exist_ok=True)
-                with open(f"{path.removeprefix('file://')}/{source}.gz", "wb") as out:
+                with system.open_output_stream(f"{folder}/{source}.gz", compression=None) as out:
                     out.write(stream)
             yield batch.select(["source"])
 
