@@ -8,7 +8,8 @@ kind in angle brackets and counts n_chars anew. mixing returns each document
 once for every round of its source's stream that takes at least half of it, so
 a document can come twice or not at all. packing returns one row per piece.
 
-Null texts have no words, so that quality drops them; an empty table stays
+Rows that share a doc_id are kept or dropped together; rows without one are
+judged on their own and are no copies of others. Null texts have no words, so that quality drops them; an empty table stays
 empty through all stages.
 """
 
@@ -30,8 +31,11 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = store(rules.judge(docs, table(spark, sf_dir, "labels")).filter("not kept").select(F.col("doc_id").alias("_gone")), "rejected")
-    return _without(docs.select(*COLUMNS), judged)
+    # Rows without an id are told apart by their text; no label has a negative id.
+    own = docs.select(*COLUMNS).withColumn("_id", F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 2) - 1))
+    judged = rules.judge(own, table(spark, sf_dir, "labels"), id_col="_id").filter("not kept").select(F.col("doc_id").alias("_gone"))
+    judged = store(judged.distinct(), "rejected")
+    return own.join(small(judged), F.col("_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
