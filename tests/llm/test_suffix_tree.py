@@ -95,3 +95,18 @@ def test_all_held_out(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     out = M.scored(samples.frame(spark, [(i, "some words") for i in held])).collect()
     assert [(r.n_known, r.train_tokens) for r in out] == [(0, 0)] * 3 and all(r.score <= 0 for r in out)
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = samples.random.Random(9)
+    syllables = ["ka", "to", "mi", "ren", "sol", "ta", "vi", "xu", "qe", "zor"]
+    pairs = samples.odd() + [(1000 + i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(20, 120)))) for i in range(300)]
+    results = []
+    for share, codes in ((1e-12, 10**6), (3e-3, 300), (0.2, 0)):
+        monkeypatch.setattr(M, "SHARE", share)
+        monkeypatch.setattr(M, "CODES", codes, raising=False)
+        out = M.scored(samples.frame(spark, pairs)).collect()
+        results.append(sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in out))
+    for other in results[1:]:
+        assert [x[:4] for x in other] == [x[:4] for x in results[0]]
+        assert np.allclose([x[4] for x in other], [x[4] for x in results[0]], rtol=1e-5)

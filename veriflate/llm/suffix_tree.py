@@ -2,22 +2,30 @@
 
 A text is its lower-cased words, each with a space, and an end mark. The tree's
 contexts are up to DEPTH bytes of what was written before. A context is
-retained if at least SHARE of all training positions have it and its
-next-symbol distribution differs from that of its longest retained suffix by
-at least GAIN nats in all (count times divergence). A context's distribution is
-smoothed with its suffix's by Witten and Bell's rule, the root's with a uniform
-one. The tree is turned into an automaton (prefixes of contexts are states with
+retained if it occurs at least LEAST times in training and its next-symbol
+distribution differs from that of its longest retained suffix by at least GAIN
+nats in all (count times divergence). A context's distribution is smoothed with
+its suffix's by Witten and Bell's rule, the root's with a uniform one.
+
+The frequent part of the tree (contexts with at least SHARE of all training
+positions) is turned into an automaton (prefixes of contexts are states with
 their suffix's distribution), so that the longest suffix state of every
 position is known after one table step; texts are cut into pieces that overlap
-by DEPTH bytes and stepped side by side.
+by DEPTH bytes and stepped side by side. Where the DEPTH bytes before a
+position are not that frequent, the position's own probability is looked up.
+It is found for every DEPTH + 1 bytes that occur in any document, from the same
+counts by the same rules, in groups by the last two bytes of the context. The CODES most frequent
+of these are broadcast; documents are put in blocks, and each block asks
+once for each of the others.
 
 A word's probability is the even mixture of the tree's (its bytes and the
 space) and the smoothed word frequency that also makes the base score.
 
-Counts cover all training documents. SHARE bounds the contexts by DEPTH / SHARE
-and the table by that times the alphabet, so the tree may be broadcast; HOT
-bounds the words that are broadcast by 1 / HOT. Occurrences of all other words
-are joined with the word counts in a shuffle: nothing is dropped.
+Counts cover all training documents. SHARE bounds the contexts of the automaton
+by DEPTH / SHARE and its table by that times the alphabet, so it may be
+broadcast; like CODES it decides only where a probability is looked up, not
+what is scored. HOT bounds the words that are broadcast by 1 / HOT. All other contexts and the
+occurrences of all other words are joined in shuffles: nothing is dropped.
 
 Cases: a null or empty text is the end mark alone; rows with a null doc_id are
 training rows; repeated rows count and score as often as they come; without
@@ -27,6 +35,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,14 +46,23 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, binary_docs, drop, store, table, word_hashes
 
-DEPTH = 5
+#: At most 6, so that DEPTH + 1 bytes are a positive number of 64 bits.
+DEPTH = 6
+#: Training positions that a retained context has at least.
+LEAST = 20
 SHARE = 2e-5
 GAIN = 20.0
 HOT = 1e-7
 SMOOTH = 0.1
 MIX = 0.5
+#: Probabilities that are broadcast at most.
+CODES = 3_000_000
+#: Slots, as powers of two, of the tables of frequent contexts and of broadcast probabilities.
+SLOTS, CODE_SLOTS = 19, 22
 #: Bytes of text that a worker parses at a time, and that one piece steps through.
 BLOCK, PIECE = 1_200_000, 256
+#: Blocks that ask together.
+TOGETHER = 8
 #: Partial counts that a worker holds before it writes them out.
 HELD = 1_500_000
 _END = b"\n"
@@ -91,6 +109,63 @@ class Stream:
         return real
 
 
+def codes(stream: Stream) -> np.ndarray:
+    """The last DEPTH + 1 bytes at each position as a number."""
+    raw = stream.bytes.astype(np.uint64)
+    code = np.zeros(len(raw), np.uint64)
+    for i in range(DEPTH + 1):
+        code[DEPTH:] |= raw[DEPTH - i : len(raw) - i] << np.uint64(8 * i)
+    return code
+
+
+def _slots(keys: np.ndarray, bits: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    return ((keys * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def frequent_table(contexts: np.ndarray) -> np.ndarray:
+    """Contexts of DEPTH bytes in slots. One that loses its slot to another is looked up, with the same result."""
+    out = np.full(1 << SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    out[_slots(contexts, SLOTS)] = contexts
+    return out
+
+
+_SECOND = 0xD6E8FEB86659FD93
+
+
+def code_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, rarest first, in one of two slots each. One that loses both is asked for, with the same result."""
+    free = np.iinfo(np.uint64).max
+    held, out = np.full(1 << CODE_SLOTS, free, np.uint64), np.zeros(1 << CODE_SLOTS, np.float32)
+    spot = _slots(keys, CODE_SLOTS)
+    held[spot], out[spot] = keys, values
+    lost = held[spot] != keys
+    keys, values = keys[lost], values[lost]
+    spot = _slots(keys, CODE_SLOTS, _SECOND)
+    empty = held[spot] == free
+    keys, values, spot = keys[empty], values[empty], spot[empty]
+    # Where several go to one slot, the key and the value must be of the same one.
+    spot, last = np.unique(spot[::-1], return_index=True)
+    held[spot], out[spot] = keys[::-1][last], values[::-1][last]
+    return held, out
+
+
+def looked_up(code: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The value of each code, NaN for one that the table lacks."""
+    held, values = table
+    spot = _slots(code, CODE_SLOTS)
+    out = np.where(held[spot] == code, values[spot], np.float32(np.nan))
+    miss = np.flatnonzero(np.isnan(out))
+    spot = _slots(code[miss], CODE_SLOTS, _SECOND)
+    out[miss] = np.where(held[spot] == code[miss], values[spot], np.float32(np.nan))
+    return out
+
+
+def rare(stream: Stream, code: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each position is a predicted one whose DEPTH bytes are not in the table."""
+    context = code >> np.uint64(8)
+    return stream.predicted() & (table[_slots(context, SLOTS)] != context)
+
+
 def token_hashes(words: list[list[bytes]], memo: WordHashes) -> np.ndarray:
     return word_hashes([w for ws in words for w in (*ws, _END)], memo)
 
@@ -103,10 +178,10 @@ class _Sums:
         self.counts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
         k, n = np.unique(keys, return_counts=True)
         self.keys.append(k)
-        self.counts.append(n)
+        self.counts.append(n * int(times))
         self.size += len(k)
         if self.size > 2 * HELD:
             self.merge()
@@ -128,16 +203,17 @@ class _Sums:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: word hashes, kind 1: DEPTH + 1 bytes as a number."""
+    """kind 0: word hashes, kind 1: DEPTH + 1 bytes as a number; a held-out document's bytes come with a count of 0."""
     memo, sums = WordHashes(), (_Sums(), _Sums())
-    for _, words in _blocks(batches):
-        sums[0].add(token_hashes(words, memo))
-        stream = Stream(words)
-        raw = stream.bytes.astype(np.uint64)
-        code = np.zeros(len(raw), np.uint64)
-        for i in range(DEPTH + 1):
-            code[DEPTH:] |= raw[DEPTH - i : len(raw) - i] << np.uint64(8 * i)
-        sums[1].add(code[stream.predicted()])
+    for ids, words in _blocks(batches):
+        train = [i is None or zlib.crc32(b"%d" % i) % 10 != 0 for i in ids]
+        for own in (True, False):
+            docs = [ws for ws, t in zip(words, train, strict=True) if t == own]
+            if docs:
+                if own:
+                    sums[0].add(token_hashes(docs, memo))
+                stream = Stream(docs)
+                sums[1].add(codes(stream)[stream.predicted()], own)
         for kind, s in enumerate(sums):
             if s.size > HELD:
                 s.merge()
@@ -238,14 +314,67 @@ def logs(tables: tuple[np.ndarray, np.ndarray, np.ndarray], raw: np.ndarray) ->
     return out.T.ravel()[:n]
 
 
-def _scored(tree, words, total: int, kinds: int) -> Callable:
+_BLOCKS = "block long, row long, ids array<bigint>, size long, text binary, code long"
+
+
+def _blocked(frequent, often) -> Callable:
+    """Rows of _BLOCKS: documents of one block (a line each, words by single spaces, compressed), and the codes that
+    TOGETHER blocks ask for."""
+    names = [c.split()[0] for c in _BLOCKS.split(", ")]
+
+    def asks(block: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        code = np.unique(np.concatenate(held)).view(np.int64) if held else ()
+        k = len(code)
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(code)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, (hot, hot_n), memo = tree.value, words.value, WordHashes()
-        row = TaskContext.get().partitionId() << 40
-        below = np.log10(total + SMOOTH * (kinds + 1))
+        row = block = TaskContext.get().partitionId() << 40
+        held = []
         for ids, docs in _blocks(batches):
+            n = len(docs)
+            text = b"\n".join(b" ".join(ws) for ws in docs)
+            packed = pa.compress(text, codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([row]), pa.array([ids], pa.list_(pa.int64())), pa.array([len(text)]), pa.array([packed], pa.binary()), pa.nulls(1, pa.int64())], names=names)
+            row += n
+            stream = Stream(docs)
+            code = codes(stream)
+            code = code[rare(stream, code, frequent.value)]
+            held.append(np.unique(code[np.isnan(looked_up(code, often.value))]))
+            if len(held) == TOGETHER:
+                yield from asks(block, held)
+                held, block = [], row
+        yield from asks(block, held)
+
+    return run
+
+
+def _scored(tree, words, frequent, often, total: int, kinds: int) -> Callable:
+    memo = WordHashes()
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        tables, (hot, hot_n) = tree.value, words.value
+        below = np.log10(total + SMOOTH * (kinds + 1))
+        asked, known_values = answers.column("code").to_numpy().view(np.uint64), answers.column("value").to_numpy()
+        order = np.argsort(asked)
+        asked, known_values = asked[order], known_values[order]
+        out = []
+        for row, ids, length, packed in zip(*(block.column(c).to_pylist() for c in ("row", "ids", "size", "text")), strict=True):
+            docs = [x.split() for x in pa.decompress(packed, length, codec="zstd", asbytes=True).split(b"\n")]
+            rows = row + np.arange(len(ids))
             stream = Stream(docs)
             byte = logs(tables, stream.bytes).astype(np.float64)
+            code = codes(stream)
+            own = np.flatnonzero(rare(stream, code, frequent.value))
+            value = looked_up(code[own], often.value)
+            miss = np.flatnonzero(np.isnan(value))
+            if len(miss):
+                wanted = code[own[miss]]
+                spot = np.searchsorted(asked, wanted)
+                if len(asked) == 0 or not np.array_equal(asked[np.minimum(spot, len(asked) - 1)], wanted):
+                    raise ValueError("a block lacks a probability that it asked for")
+                value[miss] = known_values[spot]
+            byte[own] = value
             # Behind a document's last token come the next one's marks: they add nothing.
             byte[~stream.predicted()] = 0.0
             part = np.add.reduceat(byte, stream.token)
@@ -262,12 +391,11 @@ def _scored(tree, words, total: int, kinds: int) -> Callable:
             size = len(docs)
             tokens = np.bincount(stream.doc, minlength=size)
             sums = [np.bincount(stream.doc, x, size) for x in (known, base, score)]
-            rows = row + np.arange(size)
-            row += size
-            yield _batch(pa.array(ids, pa.int64()), rows, tokens, sums[0].astype(np.int64), sums[1], sums[2], None, None)
+            out.append(_batch(pa.array(ids, pa.int64()), rows, tokens, sums[0].astype(np.int64), sums[1], sums[2], None, None))
             cold = np.flatnonzero(~known)
             if len(cold):
-                yield _batch(None, rows[stream.doc[cold]], None, None, None, None, own[place[cold]].view(np.int64), part[cold])
+                out.append(_batch(None, rows[stream.doc[cold]], None, None, None, None, own[place[cold]].view(np.int64), part[cold]))
+        return pa.Table.from_batches(out, _SCHEMA)
 
     return run
 
@@ -275,45 +403,110 @@ def _scored(tree, words, total: int, kinds: int) -> Callable:
 _COLUMNS = {"doc_id": pa.int64(), "row": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.int64(), "part": pa.float32()}
 
 
+_SCHEMA = pa.schema(list(_COLUMNS.items()))
+
+
 def _batch(*columns) -> pa.RecordBatch:
     n = len(columns[1])
     arrays = [pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, _COLUMNS.values(), strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=list(_COLUMNS))
 
 
-def _levels(counts: DataFrame, total: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows and counts of Tree from the counted bytes; bounded by SHARE."""
-    grams = counts.filter("kind = 1")
-    cuts = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col("key").bitwiseAND((1 << 8 * (j + 1)) - 1).alias("code")) for j in range(DEPTH + 1))))
-    rows = grams.select(cuts.alias("c"), "n").groupBy("c.j", "c.code").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("code", 8))
-    rows = store(rows, "levels")
-    often = rows.groupBy(F.col("j").alias("_j"), F.col("context").alias("_context")).agg(F.sum("n").alias("_n")).filter(F.col("_n") >= SHARE * total)
-    kept = rows.join(F.broadcast(often), (F.col("j") == F.col("_j")) & (F.col("context") == F.col("_context"))).select("j", "code", "n").toArrow()
-    drop(rows)
-    j, code, n = (kept.column(c).to_numpy() for c in ("j", "code", "n"))
-    out = []
-    for i in range(DEPTH + 1):
+def _level(code: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the codes of one length as Tree gives them, and how often their contexts occur. code is sorted
+    and has all codes of its contexts; parent is the probability behind the context without its first byte."""
+    if not len(code):
+        return parent, n
+    first = np.flatnonzero(np.r_[True, (code[1:] >> 8) != (code[:-1] >> 8)])
+    sums = lambda x: np.add.reduceat(x, first)
+    size, kinds = sums(n), sums((n > 0).astype(np.int64))
+    nats = sums(n * np.log(np.maximum(n, 1) / parent)) - size * np.log(np.maximum(size, 1))
+    times = np.diff(np.r_[first, len(code)])
+    size, kinds, retained = (np.repeat(x, times) for x in (size, kinds, (size >= LEAST) & (nats >= GAIN)))
+    return np.where(retained, (n + kinds * parent) / np.maximum(size + kinds, 1), parent), size
+
+
+def _chained(short: np.ndarray, least: float) -> Callable:
+    """Rows with j = -1: each code's count and log10 probability. Other rows: the codes of j bytes and the next one
+    whose contexts occur least times. short has the probability for one byte and the next one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        code, n = group.column("code").to_numpy(), group.column("n").to_numpy()
+        out, before, p = [], None, short
+        for j in range(2, DEPTH + 1):
+            own, place = np.unique(code & ((1 << 8 * (j + 1)) - 1), return_inverse=True)
+            times = np.bincount(place, n, len(own)).astype(np.int64)
+            shorter = own & ((1 << 8 * j) - 1)
+            p, size = _level(own, times, p[shorter if before is None else np.searchsorted(before, shorter)])
+            before = own
+            often = np.flatnonzero((size >= least) & (times > 0))
+            out.append((np.full(len(often), j), own[often], times[often], np.zeros(len(often))))
+        out.append((np.full(len(before), -1), before, times, np.log10(p)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table({k: pa.array(x.astype(t)) for k, x, t in zip(("j", "code", "n", "value"), columns, (np.int32, np.int64, np.int64, np.float32), strict=True)})
+
+    return run
+
+
+def _probabilities(counts: DataFrame, total: int, kinds: int) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray]]:
+    """Rows of _chained for all counted bytes, and the rows and counts of Tree, which SHARE bounds."""
+    grams = counts.filter("kind = 1").select(F.col("key").alias("code"), "n")
+    least = max(SHARE * total, LEAST)
+    pairs = grams.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    pair, times = pairs.column("code").to_numpy(), pairs.column("n").to_numpy().astype(np.int64)
+    symbols = np.bincount(pair & 255, times, 256).astype(np.int64)
+    seen = int((symbols > 0).sum())
+    root = (symbols + seen / 256) / (total + seen) if total >= LEAST else np.full(256, 1 / 256)
+    p, size = _level(pair, times, root[pair & 255])
+    short = np.zeros(1 << 16)
+    short[pair] = p
+    often, used = (size >= least) & (times > 0), np.flatnonzero(symbols) if total >= least else np.empty(0, np.int64)
+    rows, ns = [used, pair[often]], [symbols[used], times[often]]
+    # All longer contexts of a code end with the two bytes before its last.
+    groups = grams.groupBy(F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(0xFFFF)), F.lit(max(32, kinds // 100_000))).alias("part"))
+    found = store(groups.applyInArrow(_chained(short, least), "j int, code long, n long, value float"), "values")
+    frequent = found.filter("j >= 0").select("j", "code", "n").toArrow()
+    j, code, n = (frequent.column(c).to_numpy() for c in ("j", "code", "n"))
+    for i in range(2, DEPTH + 1):
         own = np.flatnonzero(j == i)
         own = own[np.argsort(code[own], kind="stable")]
-        out.append((code[own], n[own]))
-    return [r for r, _ in out], [c for _, c in out]
+        rows.append(code[own])
+        ns.append(n[own])
+    return found, rows, ns
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
     body = binary_docs(docs, id_col, text_col)
-    counts = body.filter(~held_out()).mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = body.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = store(counts, "counts")
     sums = {r["kind"]: (r["n"], r["kinds"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     total, kinds = sums.get(0, (0, 0))
-    tree = Tree(*_levels(counts, sums.get(1, (0, 0))[0]))
+    positions, distinct = sums.get(1, (0, 0))
+    found, rows, times = _probabilities(counts, positions, distinct)
+    tree = Tree(rows, times)
+    share_of = spark.sparkContext.broadcast
+    frequent = share_of(frequent_table(np.unique(rows[DEPTH] >> 8).astype(np.uint64)))
+    values = found.filter("j = -1")
+    rank = F.when(F.col("n") > 0, F.floor(4 * F.log2("n"))).otherwise(-1)
+    ranks = sorted(((r["rank"], r["count"]) for r in values.groupBy(rank.alias("rank")).count().collect()), reverse=True)
+    room = np.cumsum([c for _, c in ranks]) <= CODES
+    most = values.filter(rank.isin([r for (r, _), fits in zip(ranks, room, strict=True) if fits])).select("code", "n", "value").toArrow()
+    order = np.argsort(most.column("n").to_numpy(), kind="stable")
+    table = share_of(code_table(most.column("code").to_numpy()[order].view(np.uint64), most.column("value").to_numpy()[order]))
+    blocks = store(body.mapInArrow(_blocked(frequent, table), _BLOCKS), "blocks")
+    asks = blocks.filter("code is not null").select("block", "code")
+    answers = asks.join(values.select("code", "value"), "code").select(F.col("block").alias("to"), "code", "value")
     often = counts.filter((F.col("kind") == 0) & (F.col("n") >= HOT * total)).select("key", "n").toArrow()
     hot, hot_n = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(hot)
     share = (hot[order], hot_n[order])
-    parts = body.mapInArrow(_scored(spark.sparkContext.broadcast(tree.tables()), spark.sparkContext.broadcast(share), total, kinds), ", ".join(f"{c} {'float' if t == pa.float32() else 'double' if t == pa.float64() else 'long'}" for c, t in _COLUMNS.items()))
-    parts = store(parts, "parts")
+    texts = blocks.filter("row is not null").select("block", "row", "ids", "size", "text")
+    types = ", ".join(f"{c} {'float' if t == pa.float32() else 'double' if t == pa.float64() else 'long'}" for c, t in _COLUMNS.items())
+    run = _scored(share_of(tree.tables()), share_of(share), frequent, table, total, kinds)
+    parts = store(texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(run, types), "parts")
+    drop(found, blocks)
     rest = counts.filter((F.col("kind") == 0) & (F.col("n") < HOT * total)).select(F.col("key").alias("word"), "n")
     cold = parts.filter("word is not null").select("row", "word", "part").join(rest, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + SMOOTH) / (total + SMOOTH * (kinds + 1)))
