@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veriflate.config import DecodeConfig, WriteConfig
 from veriflate.functions import scalars as S
-from veriflate.functions.gzip_columns import gunzip, gzip_members, gzip_verify
+from veriflate.functions.gzip_columns import gunzip, gzip_members, gzip_verify, write_concatenated
 from veriflate.functions.gzip_columns import gzip as zipped
 from veriflate.operators import streams
 from veriflate.plans import bench_summary, generators
@@ -146,3 +146,20 @@ def test_generators_and_records(spark):
         s = (s * 1664525 + 1013904223) % 2**32
         want.append(s >> 24)
     assert list(data[:20]) == want
+
+
+def test_concatenated_members_of_a_large_group_go_to_several_files(spark, tmp_path):
+    bodies = {i: b"row %d " % i * 40 for i in range(3000)}
+    df = spark.createDataFrame([("hot" if i % 10 else "cold", i, x) for i, x in bodies.items()], "g string, i long, d binary").repartition(3)
+    # Ranges this small would be merged into one.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_concatenated(df, "g", "i", "d", f"file://{tmp_path}").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, rest in (("hot", False), ("cold", True)):
+        files = sorted((tmp_path / g).glob("*.gz"))
+        assert b"".join(gzip.decompress(f.read_bytes()) for f in files) == b"".join(x for i, x in bodies.items() if (i % 10 == 0) == rest)
+        assert g == "cold" or len(files) > 1
+    report = scan.report(scan.members(spark, f"{tmp_path}/*/*.gz"), scan.list_files(spark, f"{tmp_path}/*/*.gz")).collect()
+    assert sum(r.member_count for r in report) == len(bodies) and all(r.crc_verified for r in report)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +108,34 @@ def gzip_members(df: DataFrame, key: str, data: str, config: DecodeConfig | None
     return df.select(F.col(key).cast("string").alias("path"), F.col(data).cast("binary").alias("data")).mapInArrow(run, MEMBER)
 
 
-def concatenated(df: DataFrame, group: str, order: str, data: str, config: WriteConfig | None = None) -> DataFrame:
-    """group, stream: the members of each group's rows, one after the other in
-    order. Streams are cells, so groups must be small enough for one (2 GB)."""
-    made = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), gzip(F.col(data), config).alias("_d"))
-    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_d"))), lambda s: F.hex(s["_d"])), ""))
-    return made.groupBy(F.col("_g").alias(group)).agg(joined.alias("stream"))
+def write_concatenated(df: DataFrame, group: str, order: str, data: str, folder: str, config: WriteConfig | None = None) -> DataFrame:
+    """Write the members of each group's rows, one after the other in order, as
+    files folder/group/part.gz, and return group, path when it runs. A large
+    group has several files (ranges of order, in the order of their parts); a
+    task holds one batch of rows, so groups may have any size."""
+    made = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(data).alias("_d"))
+    made = made.repartitionByRange("_g", "_o").sortWithinPartitions("_g", "_o").select("_g", gzip(F.col("_d"), config).alias("_d"))
+
+    def put(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, at = fs.FileSystem.from_uri(folder)
+        part, name, out = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            done = []
+            for value, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if out is None or value != name:
+                    if out is not None:
+                        out.close()
+                    name = value
+                    system.create_dir(f"{at}/{name}")
+                    out = system.open_output_stream(f"{at}/{name}/{part:06d}.gz", compression=None)
+                    done.append((name, f"{at}/{name}/{part:06d}.gz"))
+                if body.is_valid:
+                    out.write(body.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.string()), pa.array([f for _, f in done], pa.string())], names=[group, "path"])
+        if out is not None:
+            out.close()
+
+    return made.withColumn("_g", F.col("_g").cast("string")).mapInArrow(put, f"`{group}` string, path string")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .config import DecodeConfig, WriteConfig
 from .functions import scalars as S
-from .functions.gzip_columns import bgzf, concatenated, gunzip, gzip, gzip_members, gzip_verify
+from .functions.gzip_columns import bgzf, gunzip, gzip, gzip_members, gzip_verify, write_concatenated
 from .operators import streams
 from .plans import bench_summary
 from .sources import scan
@@ -297,27 +297,15 @@ def k19_bgzf_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source, count(*) AS member_count, CAST(sum({_BYTES}) AS BIGINT) AS decompressed_bytes, true AS crc_verified FROM documents GROUP BY source")
 def s03_member_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concatenated members in one file per source, planned by candidates and
-    chained; per file: members, bytes, and the combined checksum."""
+    """Concatenated members in bounded files per source, planned by candidates and
+    chained; per source: members, bytes, and whether all checksums hold."""
     path = _folder(spark)
-    docs = _documents(spark, sf_dir).select("source", "doc_id", "packed")
-
-    def put(batches):
-        from pyarrow import fs
-
-        system, folder = fs.FileSystem.from_uri(path)
-        system.create_dir(folder)
-        for batch in batches:
-            for source, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{folder}/{source}.gz", compression=None) as out:
-                    out.write(stream)
-            yield batch.select(["source"])
-
-    concatenated(docs.withColumn("raw", gunzip(F.col("packed"))), "source", "doc_id", "raw").mapInArrow(put, "source string").count()
+    docs = _documents(spark, sf_dir).select("source", "doc_id", gunzip(F.col("packed")).alias("raw"))
+    write_concatenated(docs, "source", "doc_id", "raw", path).count()
     config = DecodeConfig(grid_size=4096)
-    found = scan.members(spark, path + "/*.gz", config)
-    sums = scan.report(found, scan.list_files(spark, path + "/*.gz"))
-    return sums.select(F.regexp_extract("path", r"([^/]+)\.gz$", 1).alias("source"), "member_count", "decompressed_bytes", "crc_verified")
+    found = scan.members(spark, path + "/*/*.gz", config)
+    sums = scan.report(found, scan.list_files(spark, path + "/*/*.gz")).withColumn("source", F.regexp_extract("path", r"([^/]+)/[^/]+\.gz$", 1))
+    return sums.groupBy("source").agg(F.sum("member_count").alias("member_count"), F.sum("decompressed_bytes").alias("decompressed_bytes"), F.bool_and("crc_verified").alias("crc_verified"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
