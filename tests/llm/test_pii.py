@@ -64,3 +64,9 @@ def test_null_and_empty(spark):
 def test_plan_has_no_python(spark):
     plan = M.detect(samples.frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_and_padded_secrets_are_candidates(spark):
+    long, padded = "aB3/" * 75, "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA=="
+    df = spark.createDataFrame([(f"key {long} end token {padded}.",)], "t string")
+    assert [r.value for r in df.select(M.matches(df.t, M.SECRET, "secret").alias("m")).first().m] == [long, padded]

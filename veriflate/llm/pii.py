@@ -42,7 +42,7 @@ BASE = ("email", "ip", "card", "phone")
 
 #: Further candidates of the method. Fixed patterns of this module.
 LOCAL_PHONE = r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
-SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,200}+(?![A-Za-z0-9_+/=-])"
+SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 EXTRA = ("phone", "card", "secret")
 #: Characters before a candidate that labelers see.
 BEFORE = 24
@@ -108,7 +108,7 @@ def _votes(kind: str, value: Column, before: Column) -> Column:
         known = flag(F.regexp_like(digits, F.lit(CARD_PREFIX)), ~F.regexp_like(digits, F.lit(CARD_PREFIX)))
         looks = flag(luhn(digits), ~luhn(digits))
     else:
-        shape = flag(F.regexp_like(value, F.lit(r"^([0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_-]{20,})$")), F.regexp_like(value, F.lit(r"^([A-Za-z]+|[-_/+]+|[0-9]+)$")))
+        shape = flag(F.regexp_like(value, F.lit(r"^([0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_-]{20,}={0,2})$")), F.regexp_like(value, F.lit(r"^([A-Za-z]+|[-_/+]+|[0-9]+)$")))
         known = flag(F.regexp_like(value, F.lit(r"^(sk|pk|ghp|gho|xox[abp]|AKIA|AIza|eyJ)")), F.regexp_like(value, F.lit(r"[a-zA-Z]{16}|/")))
         looks = flag((n >= 4) & F.regexp_like(value, F.lit("[A-Za-z]")), n < 2)
     context = flag(F.regexp_like(before, F.lit(WORDS[kind])), F.regexp_like(before, F.lit(OTHER)))
