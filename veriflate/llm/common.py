@@ -3,10 +3,16 @@ intermediate tables, word hashing and forest-shaped reductions."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,10 +73,31 @@ def binary_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
 
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """make()'s result, made once in a worker process. Functions that travel by value
+    have no module of their own there, so that it is kept in a module made for this."""
+    held = sys.modules.setdefault("_veriflate_worker", types.ModuleType("_veriflate_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for a task; afterwards the worker, which Spark keeps, gives freed memory back to the system."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a fixed number of entries."""
+    """word -> 64-bit hash, remembered up to a fixed number of entries (about 16 MB)."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

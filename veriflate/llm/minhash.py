@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_docs, drop, mix, small, store, table, window_hashes, word_hashes
+from .common import WordHashes, binary_docs, drop, mix, small, store, table, trimmed, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -171,7 +171,7 @@ def _fits(p: str, q: str):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     body = binary_docs(docs, id_col, text_col)
-    marks = store(body.mapInArrow(_signatures, "doc_id long, n long, high long, low long, bands array<long>"), "marks")
+    marks = store(body.mapInArrow(trimmed(_signatures), "doc_id long, n long, high long, low long, bands array<long>"), "marks")
     classes = marks.filter("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     docs_in = store(
         marks.join(classes, ["high", "low"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("b").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("b")
     members = store(rows.join(shared, "b", "left_semi").groupBy("b", "rep").agg(F.max("n").alias("n")), "members")
     need = members.select("rep").distinct()
-    sets = store(body.join(small(need), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "id long, items array<long>, bits array<long>"), "sets")
+    sets = store(body.join(small(need), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(trimmed(_sets), "id long, items array<long>, bits array<long>"), "sets")
 
     picks = [F.min_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.xxhash64("rep", F.lit(i))) for i in range(1, HUBS)]
     first = F.min(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")))

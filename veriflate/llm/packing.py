@@ -6,14 +6,16 @@ rest is placed into the open window that it fills best. If it fits nowhere and
 no window may be opened, the fullest window is topped up with the rest's head
 and emitted, and the remainder is placed again. So padding is left only in the
 windows that are open at the end; those of GROUP partitions are merged, their
-pieces placed by decreasing length. A task holds one Arrow batch, OPEN windows
-and a bounded memo of encoded words.
+pieces placed by decreasing length. A task holds one Arrow batch and OPEN
+windows; a worker process holds one encoder and at most MEMO_BYTES of encoded
+words, however many tasks it runs.
 
 Text is encoded in units: a run of white space and the word after it. The
 tokenizer's pattern never joins a character and white space after it, so that
 encoding units gives the same ids as encoding the text. Units are merged with
 the same vocabulary file by a quicker library where the file allows it; texts
-with a special token's string are encoded as a whole by the tokenizer.
+with a special token's string are encoded as a whole by the tokenizer, which is
+loaded when the first such text comes.
 
 Cases: null and empty texts are the end id alone; null and repeated doc_ids are
 ordinary rows; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +28,8 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
+from struct import pack as packed_ints
 
 import numpy as np
 import pandas as pd
@@ -34,15 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import per_worker, store, table, trimmed
 
 LENGTH = 1024
 OPEN = 16
 GROUP = 8
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Encoded units that a worker remembers; longer units are not remembered.
-MEMO, MEMO_CHARS = 500_000, 48
+#: Bytes of encoded units that a worker remembers, each counted with UNIT_BYTES
+#: for its objects; units over MEMO_CHARS are not remembered.
+MEMO_BYTES, UNIT_BYTES, MEMO_CHARS = 32 << 20, 190, 48
 #: Unicode White_Space.
 _WS = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -56,14 +61,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _fast_units(path: str) -> Callable[[str], list[int]] | None:
+def _fast_units(spec: dict) -> Callable[[str], list[int]] | None:
     """A quicker encoder of units with the file's own vocabulary, if its merges
     are ranked by their ids; it gives the ids that the tokenizer gives."""
     import tiktoken
     from public_tokenizers import PATTERN
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = spec["model"]
     letters = _byte_letters()
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
@@ -76,31 +80,44 @@ class Encoder:
     """Texts to little-endian 32-bit ids."""
 
     def __init__(self, path: str | None = None) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        path = path or public_tokenizers.path(VOCABULARY)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unit = _fast_units(path) or (lambda u: self.tokenizer.encode(u, add_special_tokens=False).ids)
+        self.path = path or public_tokenizers.path(VOCABULARY)
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        self.unit = _fast_units(spec) or self.whole
+        self.tokenizer = None
         self.memo: dict[str, bytes] = {}
+        self.held = 0
+
+    def whole(self, text: str) -> list[int]:
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.whole(text), "<u4").tobytes()
         units = _UNIT.findall(text)
-        memo, unit, long = self.memo, self.unit, []
-        for u in set(units).difference(memo):
-            memo[u] = np.array(unit(u), "<u4").tobytes()
-            if len(u) > MEMO_CHARS:
-                long.append(u)
+        memo, unit = self.memo, self.unit
+        fresh = set(units).difference(memo)
+        for u in fresh:
+            i = unit(u)
+            memo[u] = packed_ints(f"<{len(i)}I", *i)
         out = b"".join(map(memo.__getitem__, units))
-        if len(memo) > MEMO:
-            memo.clear()
-        else:
-            for u in long:
+        for u in fresh:
+            if len(u) > MEMO_CHARS:
                 del memo[u]
+            else:
+                self.held += UNIT_BYTES + len(u) + len(memo[u])
+        if self.held > MEMO_BYTES:
+            # The older half goes.
+            for u in list(islice(memo, len(memo) // 2)):
+                self.held -= UNIT_BYTES + len(u) + len(memo.pop(u))
         return out
 
 
@@ -157,7 +174,8 @@ def _rows(windows: list[list[tuple]], part: int, first: int, is_open: bool) -> l
 def _packed(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.bool_() if n == "open" else pa.int64()) for n in _NAMES])
-        part, encoder, packer, done = TaskContext.get().partitionId(), Encoder(path), Packer(), 0
+        part, packer, done = TaskContext.get().partitionId(), Packer(), 0
+        encoder = per_worker(f"encoder {path}", lambda: Encoder(path))
         end = END.to_bytes(4, "little")
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,7 +191,7 @@ def _packed(path: str | None):
         if packer.open:
             yield batch_of(_rows([w[1] for w in packer.open], part, done, True))
 
-    return run
+    return trimmed(run)
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
