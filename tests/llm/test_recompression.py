@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from tests.llm import samples
 from veriflate.llm import recompression as M
 
@@ -42,12 +44,61 @@ def test_empty(spark):
 
 def test_symbols_do_not_depend_on_what_is_around():
     memo, rng = M.WordHashes(), samples.random.Random(1)
-    for _ in range(50):
-        passage = samples.words(rng, 13, 4)
-        blocks = [M.Block([" ".join(samples.words(rng, rng.randrange(9), 4) + passage + samples.words(rng, rng.randrange(9), 4)).encode()], memo) for _ in range(4)]
-        want = {int(k) for k in M.window_hashes(M.word_hashes([w.encode() for w in passage], memo), 13, 5).view("int64")}
-        keys = []
-        for b in blocks:
-            at = [i for i, h in enumerate(b.windows()) if int(h) in want][0]
-            keys.append(int(b.keys[list(b.anchors).index(b.selected[at])]))
-        assert len(set(keys)) == 1
+    for turn in range(80):
+        passage = samples.words(rng, 13, 2 + turn % 4)
+        inside = []
+        for _ in range(4):
+            before = samples.words(rng, rng.randrange(9), 4)
+            b = M.Block([[w.encode() for w in before + passage + samples.words(rng, rng.randrange(9), 4)]], memo)
+            b.symbols()
+            own = (b.low_begin >= len(before)) & (b.low_end <= len(before) + 13)
+            assert own.any()
+            assert (b.low_name == b.sums.hashes(b.low_begin, b.low_end, 7) >> 1).all()
+            inside.append({(int(x) - len(before), int(n)) for x, n in zip(b.low_begin[own], b.low_name[own], strict=True)})
+        # What one window selects, it selects everywhere.
+        assert set.intersection(*inside)
+
+
+def test_long_symbols_share_what_is_inside():
+    memo, rng = M.WordHashes(), samples.random.Random(2)
+    passage = [w.encode() for w in samples.words(rng, 300)]
+    names = []
+    for _ in range(3):
+        b = M.Block([[w.encode() for w in samples.words(rng, 40)] + passage + [w.encode() for w in samples.words(rng, 40)]], memo)
+        b.symbols()
+        names.append(dict(zip(b.high_name.tolist(), (b.high_end - b.high_begin).tolist(), strict=True)))
+    shared = set(names[0]) & set(names[1]) & set(names[2])
+    assert sum(names[0][n] for n in shared) > 150
+
+
+def test_runs_and_hashes_of_stretches():
+    names, first = np.array([5, 5, 5, 7, 7, 5], np.uint64), np.array([True, False, False, False, True, False])
+    out, start = M.name_runs(names, np.arange(6), first)
+    assert start.tolist() == [0, 3, 4, 5] and out[1] == 7 and out[3] == 5 and out[0] not in (5, 7) and out[2] == 7
+    h = M.mix(np.arange(100, dtype=np.uint64) % np.uint64(10))
+    sums = M.Sums(h)
+    a = np.array([0, 10, 50, 3])
+    got = sums.hashes(a, a + 17, 1)
+    assert got[0] == got[1] == got[2] != got[3]
+    assert (sums.hashes(a, a + 18, 1) != got).all()
+
+
+def test_group_and_bucket_agree():
+    rng = samples.random.Random(3)
+    asks = []
+    for _ in range(3):
+        n = rng.randrange(1, 400)
+        asks.append((np.array([rng.randrange(300) for _ in range(n)], np.uint64), np.array([rng.randrange(-5, 60) for _ in range(n)], np.int64)))
+    held = [M.Asked([a], [d], 4) for a, d in asks]
+    rows = [(g, b, data) for g, h in enumerate(held) for b, data in h.rows()]
+    answers = {}
+    for bucket in range(4):
+        own = [r for r in rows if r[1] == bucket]
+        group = M.pa.table({"part": [r[0] for r in own], "bucket": [bucket] * len(own), "data": M.pa.array([r[2] for r in own], M.pa.binary())})
+        for r in M._answered(group).to_pylist():
+            answers.setdefault(r["part"], {})[bucket] = r["data"]
+    names, docs = np.concatenate([a for a, _ in asks]), np.concatenate([d for _, d in asks])
+    for (a, d), h, g in zip(asks, held, range(3), strict=True):
+        h.read(answers[g])
+        assert h.earlier(a, d).tolist() == [bool((docs[names == x] < y).any()) for x, y in zip(a, d, strict=True)]
+        assert h.shared.tolist() == [len(set(docs[names == x])) > 1 for x in h.name]

@@ -55,6 +55,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def store_split(df: DataFrame, name: str, column: str, kinds: int) -> list[DataFrame]:
+    """Like store, as one table for each value 0 .. kinds - 1 of an int column; each can be dropped by itself."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    df.write.partitionBy(column).parquet(path)
+    out = []
+    for k in range(kinds):
+        part = spark.read.schema(df.schema).parquet(path).filter(F.col(column) == k).drop(column)
+        part._llm_path = f"{path}/{column}={k}"
+        out.append(part)
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by store() that nothing reads any more."""
     for df in frames:
