@@ -13,18 +13,18 @@ def oracle(pairs_df):
 def check(spark, pairs):
     df = samples.frame(spark, pairs)
     out = M.taken(df).collect()
-    want = oracle(df.toPandas())
+    want = oracle(df.toArrow())
     key = lambda r: tuple((x is None, x) for x in r)
     got = sorted((tuple(r) for r in out), key=key)
     want = sorted(want, key=key)
-    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(None if r[0] != r[0] else r[0], *r[1:3], r[4]) for r in want]
+    assert [(*r[:3], *r[4:]) for r in got] == [(*r[:3], *r[4:]) for r in want]
     assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want, strict=True))
     assert all(r.taken <= 2 * r.size for r in out)
     return df, out
 
 
 def test_targets_are_met(spark):
-    pairs = [p for p in samples.odd() if p[0] is not None] + samples.texts(6, 400)
+    pairs = samples.odd() + [(None, "x y z"), (None, "x y z")] * 20 + samples.texts(6, 400)
     df, out = check(spark, pairs)
     per = {}
     for r in out:
@@ -41,6 +41,22 @@ def test_schedule_spreads_sources(spark):
     assert len({r.slot for r in rows}) > 100
     first = [r.sid for r in sorted(rows, key=lambda r: r.slot)][:20]
     assert len(set(first)) > 1
+    # The points of a source are spread: no source waits for long between its slots.
+    for sid, share in ((0, 0.6), (1, 0.3)):
+        own = sorted({r.slot for r in rows if r.sid == sid})
+        gaps = [b - a for a, b in zip(own, own[1:], strict=False)]
+        assert max(gaps) <= 6 / share * max(1, max(r.slot for r in rows) / len({r.slot for r in rows}))
+
+
+def test_long_schedules_are_made_in_steps(spark):
+    # 2^30 blocks of two sources: only the plan's rows before the last step are made.
+    sources = spark.createDataFrame([(0, 1 << 29, 0), (1, 1 << 29, 1 << 29)], "sid int, quota long, first long")
+    slots = M._slots(sources, 1024, 1 << 30)
+    plan = slots._jdf.queryExecution().optimizedPlan().toString()
+    # Twice over: the running sums read the slots twice.
+    assert plan.count("explode(sequence") == 4
+    few = M._slots(spark.createDataFrame([(0, 9_000, 0), (1, 5_000, 9_000)], "sid int, quota long, first long"), 1024, 14_000)
+    assert {(r.sid, r.n) for r in few.groupBy("sid").agg(M.F.countDistinct("rank").alias("n")).collect()} == {(0, 9_000), (1, 5_000)}
 
 
 def test_nothing_to_mix(spark):
@@ -62,6 +78,19 @@ def test_mixed_rows(spark):
     assert all(taken[i].taken > 0 for i in counts)
     words = sum(taken[i].size * n for i, n in counts.items())
     assert abs(words / sum(t.taken for t in taken.values()) - 1) < 0.1
+    order = [r.doc_id for r in M.mixed(df).collect()]
+    firsts = {}
+    for at, i in enumerate(order):
+        firsts.setdefault(i, at)
+    by_slot = sorted((t.first_slot, i) for i, t in taken.items() if i in firsts)
+    slots = [t for t, _ in by_slot]
+    assert [taken[i].first_slot for i in sorted(firsts, key=firsts.get)][:5] == slots[:5]
+
+
+def test_mixed_keeps_columns_with_like_names(spark):
+    df = samples.frame(spark, samples.texts(6, 30)).withColumn("_id", M.F.lit(7)).withColumn("_copy", M.F.lit("c")).withColumn("_slot", M.F.lit(1.5))
+    out = M.mixed(df).collect()
+    assert out and {(r._id, r._copy, r._slot) for r in out} == {(7, "c", 1.5)}
 
 
 def test_plan_has_no_python(spark):
