@@ -101,3 +101,28 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 200), (None, 5), (300, 7)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 300: 0}
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    rng = samples.random.Random(21)
+    a, b, c = (" ".join(samples.words(rng, 40)) for _ in range(3))
+    near = b.rsplit(" ", 1)[0]
+    pairs = [(3, a), (5, a), (5, b), (9, b), (11, near), (20, c), (20, c), (21, c), (20, near + " more words of its own " + a)]
+    out = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in M.near_duplicates(samples.frame(spark, pairs)).collect()}
+    assert {v for (i, _), v in out.items() if i in (5, 9, 11)} == {(3, False)}
+    assert out[3, 36] == (3, True)
+    assert {v for (i, _), v in out.items() if i in (20, 21)} == {(20, True), (20, False)}
+
+
+def test_buckets_are_played_in_parts(spark, monkeypatch):
+    rng = samples.random.Random(22)
+    text = samples.words(rng, 60)
+    pairs = []
+    for i in range(60):
+        w = list(text)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(999)}"
+        pairs.append((i, " ".join(w)))
+    whole = sorted(map(tuple, M.near_duplicates(samples.frame(spark, pairs)).collect()))
+    monkeypatch.setattr(M, "SIDE", 7)
+    assert sorted(map(tuple, M.near_duplicates(samples.frame(spark, pairs)).collect())) == whole

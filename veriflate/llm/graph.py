@@ -1,14 +1,16 @@
 """Connected components in Spark by alternating large-star and small-star
-steps (Kiveris et al., 2014): each step is two joins on node ids, no node's
-neighbourhood is ever gathered in one row, and every round ends in a table in
-the shared folder."""
+steps (Kiveris et al., 2014): each step is a join with the least neighbour of
+each node, and no node's neighbourhood is ever gathered in one row. The least
+neighbours are written first, so that they are broadcast where they are few,
+and else the join stands between plain tables, where Spark splits the edges of
+a star's centre among tasks. Every round ends in a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, store
+from .common import drop, small, store
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -22,15 +24,17 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while True:
         sign = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign[0] == 0 or sign == seen:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
+            ends = cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            out = store(cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(ends), name)
+            drop(cur)
+            return out
         seen = sign
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        low = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = store(both.join(small(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        least = store(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        pairs = large.join(small(least), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         nxt = store(pairs.select("e.a", "e.b").filter("a <> b").distinct(), name)
+        drop(low, large, least)
         drop(cur)
         cur = nxt

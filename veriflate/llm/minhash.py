@@ -24,8 +24,8 @@ before all this, so they cost one row each.
 
 Cases: null or empty text, or text of white space only, has an empty set
 (n_shingles 0) and links with nothing; fewer than five words make one shingle
-of the whole sequence; rows that share a doc_id are one node, so they share a
-component; rows with a null doc_id get no links, a null component and are
+of the whole sequence; rows that share a doc_id are one node, whatever their
+texts, so they share a component and link what either text is like; rows with a null doc_id get no links, a null component and are
 kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -50,6 +50,8 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Stars of a bucket: one at its smallest id, the others at members picked by hash.
 HUBS = 4
+#: Rows on each side of a part of a bucket that is played out.
+SIDE = 2048
 #: Bits of a bitmap for each shingle, up to the next power of two.
 BITS = 8
 #: First attempts of densification that are tabulated; later ones are hashed.
@@ -138,17 +140,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(body.as_py(), memo) for body in batch.column(1)]
         longs = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *longs], names=["id", "items", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), *longs], names=["id", "n", "items", "bits"])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of edges(a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("items").alias("left"))
-    two = sets.select(F.col("id").alias("b"), F.col("items").alias("right"))
-    both = edges.join(two, "b").join(one, "a").select("a", "b", F.size("left").alias("p"), F.size("right").alias("q"), F.size(F.array_intersect("left", "right")).cast("long").alias("i"))
+    """Those of edges(a, an, b, bn) whose full sets are similar enough, as (a, b)."""
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("items").alias("left"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("items").alias("right"))
+    both = edges.join(two, ["b", "bn"]).join(one, ["a", "an"]).select("a", "b", F.size("left").alias("p"), F.size("right").alias("q"), F.size(F.array_intersect("left", "right")).cast("long").alias("i"))
     return both.filter(f"100 * i >= {PERCENT} * (p + q - i)").select("a", "b")
 
 
+def _ends(x: str, n: str, y: str, m: str) -> list[Column]:
+    """The edge between two representatives with their sizes, the smaller id first."""
+    swap = F.col(x) > F.col(y)
+    pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+    return [pick(x, y).alias("a"), pick(n, m).alias("an"), pick(y, x).alias("b"), pick(m, n).alias("bn")]
+
+
 def _apart(x: str, y: str) -> Column:
     """Bits in which two bitmaps differ; sizes differ by a factor of two at most, the larger one is folded."""
 
@@ -172,44 +181,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     body = binary_docs(docs, id_col, text_col)
     marks = store(body.mapInArrow(trimmed(_signatures), "doc_id long, n long, high long, low long, bands array<long>"), "marks")
-    classes = marks.filter("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    docs_in = store(
-        marks.join(classes, ["high", "low"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
-        "classes",
-    )
-    drop(marks)
+    # A set that only one row has is its own class; rows of the others may be most of all rows, so that their join
+    # stands alone between plain tables, where Spark can split a key.
+    classes = marks.filter("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    classes = store(classes.filter("rows > 1").drop("rows"), "copies")
+    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id"))
+    docs_in = marks.join(small(classes), ["high", "low"], "left").withColumn("rep", rep)
+    docs_in = store(docs_in.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    drop(marks, classes)
+    # An id with several texts is one node: it joins the classes of all of them.
+    named = docs_in.filter("rep is not null")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select(F.col("doc_id").alias("id"), "a")
+    own = named.join(small(several), F.col("doc_id") == F.col("id")).select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
     rows = docs_in.filter("bands is not null").select("rep", "n", F.explode("bands").alias("b"))
     shared = rows.groupBy("b").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("b")
-    members = store(rows.join(shared, "b", "left_semi").groupBy("b", "rep").agg(F.max("n").alias("n")), "members")
+    members = store(rows.join(shared, "b", "left_semi").distinct(), "members")
     need = members.select("rep").distinct()
-    sets = store(body.join(small(need), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(trimmed(_sets), "id long, items array<long>, bits array<long>"), "sets")
+    sets = store(body.join(small(need), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(trimmed(_sets), "id long, n long, items array<long>, bits array<long>"), "sets")
+    if not docs_in.filter("bands is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        sets = store(sets.dropDuplicates(["id", "n", "items"]), "sets")
 
     picks = [F.min_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.xxhash64("rep", F.lit(i))) for i in range(1, HUBS)]
     first = F.min(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
     hubs = members.groupBy("b").agg(F.array_distinct(F.array(first, *picks)).alias("hubs")).select("b", F.explode("hubs").alias("h")).select("b", "h.*")
-    edges = members.join(hubs, "b").filter("rep <> hub").filter(_fits("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = store(_confirmed(edges, sets), "links")
+    edges = members.join(hubs, "b").filter("rep <> hub").filter(_fits("n", "hub_n")).select(*_ends("rep", "n", "hub", "hub_n")).distinct()
+    links = store(_confirmed(edges, sets).union(own), "links")
     roots = components(links)
 
     # Buckets with the same members are one bucket from here on.
-    same = members.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).filter("size > 2").groupBy("size", "sum").agg(F.min("b").alias("b")).select("b")
+    same = members.groupBy("b").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep", "n").cast("decimal(38,0)")).alias("sum")).filter("size > 2").groupBy("size", "sum").agg(F.min("b").alias("b")).select("b")
     named = members.join(same, "b", "left_semi").join(roots, F.col("rep") == F.col("node"), "left").select("b", "rep", "n", F.coalesce("root", "rep").alias("label"))
     sizes = named.groupBy("b", "label").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("b").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major")).filter("labels > 1").select("b", "major")
+    sides = [F.ceil(x / SIDE).cast("int").alias(c) for x, c in ((F.sum("size"), "sides"), (F.sum("size") - F.max("size"), "others"))]
+    major = sizes.groupBy("b").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("major"), *sides).filter("labels > 1").drop("labels")
     live = store(named.join(major, "b"), "live")
     drop(members)
-    live_bits = store(live.join(sets.select("id", "bits"), F.col("rep") == F.col("id")).drop("id"), "bits")
+    live_bits = store(live.join(sets.select("id", F.col("n").alias("set_n"), "bits"), (F.col("rep") == F.col("id")) & (F.col("n") == F.col("set_n"))).drop("id", "set_n"), "bits")
     drop(live)
-    outer = live_bits.filter("label <> major").select("b", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("label").alias("label2"))
+    # A bucket is played in parts of SIDE times SIDE rows.
+    cut = lambda of, by: F.pmod(F.xxhash64(of, F.lit(1)), F.col(by)).cast("int")
+    every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    inner = live_bits.select("b", "rep", "n", "bits", "label", cut("rep", "sides").alias("i"), every("others").alias("j"))
+    outer = live_bits.filter("label <> major").select("b", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("label").alias("label2"), cut("rep", "others").alias("j"), every("sides").alias("i"))
     most = (F.col("n") + F.col("n2") - _apart("bits", "bits2")) / 2
     could = (F.col("label") != F.col("label2")) & _fits("n", "n2") & (100 * most >= PERCENT * (F.col("n") + F.col("n2") - most))
-    both = live_bits.alias("x").join(outer.alias("y"), (F.col("x.b") == F.col("y.b")) & could)
-    edges = both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    edges = inner.join(outer, ["b", "i", "j"]).filter(could).select(*_ends("rep", "n", "rep2", "n2")).distinct()
     final = store(links.union(_confirmed(edges, sets)).distinct(), "links")
     drop(links, live_bits)
     roots = components(final)
+    drop(final)
     drop(sets)
-    out = docs_in.select("doc_id", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left")
+    out = docs_in.select("doc_id", "n", "rep").join(small(roots), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
