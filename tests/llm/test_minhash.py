@@ -2,7 +2,6 @@ import numpy as np
 
 from tests.llm import samples
 from veriflate.llm import minhash as M
-from veriflate.llm.common import WordHashes
 from veriflate.llm.graph import components
 
 
@@ -66,27 +65,27 @@ def test_empty(spark):
 
 
 def test_signature_estimates_similarity():
-    memo, rng = WordHashes(), samples.random.Random(2)
+    rng = samples.random.Random(2)
     near = []
     for _ in range(60):
         w = samples.words(rng, 400, 10**6)
         v = list(w)
         for i in rng.sample(range(400), 11):
             v[i] = "z"
-        a, b = (M.shingles(" ".join(x).encode(), memo) for x in (w, v))
+        a, b = M.shingle_sets([" ".join(x).encode() for x in (w, v)])
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         near.append((M.signature(a) == M.signature(b)).mean() - true)
     assert abs(np.mean(near)) < 0.02
-    one = M.signature(M.shingles(b"only one", memo))
+    one = M.signature(M.shingle_sets([b"only one"])[0])
     assert len(set(one.tolist())) == 1 and len(one) == M.BINS
 
 
 def test_bitmaps_bound_the_intersection():
-    memo, rng = WordHashes(), samples.random.Random(3)
+    rng = samples.random.Random(3)
     for _ in range(40):
         w = samples.words(rng, rng.randrange(6, 300))
         v = w[: rng.randrange(5, len(w))] + samples.words(rng, 20)
-        a, b = (M.shingles(" ".join(x).encode(), memo) for x in (w, v))
+        a, b = M.shingle_sets([" ".join(x).encode() for x in (w, v)])
         p, q = M.bitmap(a), M.bitmap(b)
         while len(p) != len(q):
             if len(p) < len(q):

@@ -43,13 +43,13 @@ def test_empty(spark):
 
 
 def test_symbols_do_not_depend_on_what_is_around():
-    memo, rng = M.WordHashes(), samples.random.Random(1)
+    rng = samples.random.Random(1)
     for turn in range(80):
         passage = samples.words(rng, 13, 2 + turn % 4)
         inside = []
         for _ in range(4):
             before = samples.words(rng, rng.randrange(9), 4)
-            b = M.Block([[w.encode() for w in before + passage + samples.words(rng, rng.randrange(9), 4)]], memo)
+            b = M.Block([" ".join(before + passage + samples.words(rng, rng.randrange(9), 4)).encode()])
             b.symbols()
             own = (b.low_begin >= len(before)) & (b.low_end <= len(before) + 13)
             assert own.any()
@@ -60,11 +60,11 @@ def test_symbols_do_not_depend_on_what_is_around():
 
 
 def test_long_symbols_share_what_is_inside():
-    memo, rng = M.WordHashes(), samples.random.Random(2)
-    passage = [w.encode() for w in samples.words(rng, 300)]
+    rng = samples.random.Random(2)
+    passage = samples.words(rng, 300)
     names = []
     for _ in range(3):
-        b = M.Block([[w.encode() for w in samples.words(rng, 40)] + passage + [w.encode() for w in samples.words(rng, 40)]], memo)
+        b = M.Block([" ".join(samples.words(rng, 40) + passage + samples.words(rng, 40)).encode()])
         b.symbols()
         names.append(dict(zip(b.high_name.tolist(), (b.high_end - b.high_begin).tolist(), strict=True)))
     shared = set(names[0]) & set(names[1]) & set(names[2])
@@ -102,3 +102,21 @@ def test_group_and_bucket_agree():
         h.read(answers[g])
         assert h.earlier(a, d).tolist() == [bool((docs[names == x] < y).any()) for x, y in zip(a, d, strict=True)]
         assert h.shared.tolist() == [len(set(docs[names == x])) > 1 for x in h.name]
+
+
+def test_hashed_words(monkeypatch):
+    texts = [b" a  bb\tccc\n", None, b"", b"\x0b\x0c", b"bb a", "\u3000 é".encode(), b"x" * 5000, b"a" + b"x" * 5000]
+    hashes, place = M.hashed_words(texts)
+    words = [w for t in texts for w in (t or b"").split()]
+    assert place.tolist() == [0, 3, 3, 3, 3, 5, 7, 8, 9]
+    of = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True)) and len(set(of.values())) == len(of)
+    from veriflate.llm import common
+
+    monkeypatch.setattr(common, "KEPT", 7)
+    monkeypatch.setattr(common, "per_worker", lambda name, make: make())
+    assert M.hashed_words(texts)[0].tolist() == hashes.tolist()
+    rng = samples.random.Random(4)
+    many = [b"".join(rng.choice([b"a", b"b", b"ab", b"ba"]) for _ in range(rng.randrange(1, 30))) for _ in range(20_000)]
+    got, _ = M.hashed_words(many)
+    assert len(set(got.tolist())) == len(set(many))

@@ -31,8 +31,10 @@ def levels(code, least):
 
 def test_automaton_finds_the_longest_suffix():
     rng = samples.random.Random(3)
-    words = [[w.encode() for w in rng.choice(["abab cab", "cab abc a", "bcab", "a b a b"]).split() * rng.randrange(4)] for _ in range(300)]
-    stream = M.Stream(words)
+    texts = [" ".join(rng.choice(["abab cab", "cab abc a", "bcab", "a b a b"]).split() * rng.randrange(4)).encode() for _ in range(300)]
+    stream = M.Stream(texts)
+    assert [bytes(stream.bytes[a:b]).rstrip() for a, b in zip(stream.token, [*stream.token[1:], None], strict=True)] == [w for t in texts for w in (*t.split(), b"")]
+    assert stream.doc.tolist() == [i for i, t in enumerate(texts) for _ in range(len(t.split()) + 1)]
     rows, counts = levels(counted(stream), 30)
     tree = M.Tree(rows, counts)
     table = tree.log.reshape(tree.states, tree.width).astype(float)

@@ -143,3 +143,78 @@ def window_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
         out = out * _STEP + h[i : i + n]
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+#: Odd, and its inverse modulo 2^64.
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+
+
+class Sums:
+    """64-bit hashes of stretches of numbers, each by two lookups: a polynomial
+    in an odd number, taken back to the stretch's start by the inverse."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        n = len(h)
+        self.sum = np.zeros(n + 1, np.uint64)
+        power, self.back = _powers(n)
+        np.cumsum(h * power, out=self.sum[1:])
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+        size = (end - begin).astype(np.uint64)
+        return mix((self.sum[end] - self.sum[begin]) * self.back[begin] ^ mix(size * np.uint64(64) + np.uint64(salt)))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of _BACK from 0 on (at least n, and n + 1); short ones are kept in the worker."""
+
+    def make(size: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x)])) for x in (_STEP, _BACK))
+
+    power, back = per_worker("powers", lambda: make(KEPT)) if n <= KEPT else make(n)
+    return power[:n], back[: n + 1]
+
+
+#: Powers that a worker keeps (16 bytes each).
+KEPT = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte, so that texts of few different bytes are spread over all 64 bits.
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes that are not white space) of
+    all texts, one after the other, and the place of each text's first one, with
+    the number of words behind them. No word becomes an object; stretches of
+    about KEPT bytes are hashed at a time."""
+    size = np.array([0 if t is None else len(t) for t in texts], np.int64)
+    raw = np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8)
+    word = ~_BLANK[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
+    begin, end = edge[::2], edge[1::2]
+    out, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        upto = max(at + 1, int(np.searchsorted(end, begin[at] + KEPT, "right")))
+        first = begin[at]
+        sums = Sums(_LETTERS[raw[first : end[upto - 1]]])
+        out[at:upto] = sums.hashes(begin[at:upto] - first, end[at:upto] - first, 11)
+        at = upto
+    offset = np.concatenate([[0], np.cumsum(size + 1)])
+    return out, np.searchsorted(begin, offset)
+
+
+#: Bytes of text that are hashed at a time.
+PART = 1_000_000
+
+
+def in_parts(bodies: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """First row and texts of parts of about PART bytes (a longer text is one of its own)."""
+    first, size, part = 0, 0, []
+    for i, b in enumerate(bodies):
+        part.append(b.as_py())
+        size += len(part[-1] or b"")
+        if size > PART:
+            yield first, part
+            first, size, part = i + 1, 0, []
+    if part:
+        yield first, part

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_docs, drop, mix, small, store, table, trimmed, window_hashes, word_hashes
+from .common import Sums, binary_docs, drop, hashed_words, in_parts, mix, small, store, table, trimmed
 from .graph import components
 
 SHINGLE = 5
@@ -58,12 +58,19 @@ BITS = 8
 _ATTEMPTS = 512
 
 
-def shingles(body: bytes | None, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a whole text."""
-    words = body.lower().split() if body else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(word_hashes(words, memo), min(SHINGLE, len(words))))
+def shingle_sets(bodies: list[bytes | None]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each whole text."""
+    words, place = hashed_words([None if b is None else b.lower() for b in bodies])
+    sums, place = Sums(words), place.tolist()
+    at = np.arange(max(len(words) - SHINGLE + 1, 0))
+    every = sums.hashes(at, at + SHINGLE, 3)
+    out = []
+    for a, e in zip(place, place[1:], strict=False):
+        if e - a >= SHINGLE:
+            out.append(np.unique(every[a : e - SHINGLE + 1]))
+        else:
+            out.append(sums.hashes(np.array([a]), np.array([e]), 3) if e > a else np.empty(0, np.uint64))
+    return out
 
 
 def _probe(attempts: np.ndarray) -> np.ndarray:
@@ -107,25 +114,24 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
     for batch in batches:
-        ids, n, high, low, keys = batch.column(0), [], [], [], []
-        for body in batch.column(1):
-            found = shingles(body.as_py(), memo)
-            n.append(len(found))
-            if len(found):
-                both = xxhash.xxh3_128_intdigest(found.tobytes())
-                high.append((both >> 64) - (1 << 63))
-                low.append((both & (1 << 64) - 1) - (1 << 63))
-                keys.append(bands(signature(found)))
-            else:
-                high.append(None)
-                low.append(None)
-                keys.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "high", "low", "bands"],
-        )
+        for first, bodies in in_parts(batch.column(1)):
+            n, high, low, keys = [], [], [], []
+            for found in shingle_sets(bodies):
+                n.append(len(found))
+                if len(found):
+                    both = xxhash.xxh3_128_intdigest(found.tobytes())
+                    high.append((both >> 64) - (1 << 63))
+                    low.append((both & (1 << 64) - 1) - (1 << 63))
+                    keys.append(bands(signature(found)))
+                else:
+                    high.append(None)
+                    low.append(None)
+                    keys.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(bodies)), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "high", "low", "bands"],
+            )
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -136,11 +142,11 @@ def bitmap(found: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
     for batch in batches:
-        found = [shingles(body.as_py(), memo) for body in batch.column(1)]
-        longs = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), *longs], names=["id", "n", "items", "bits"])
+        for first, bodies in in_parts(batch.column(1)):
+            found = shingle_sets(bodies)
+            longs = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bodies)), pa.array([len(x) for x in found], pa.int64()), *longs], names=["id", "n", "items", "bits"])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:

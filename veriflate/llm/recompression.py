@@ -47,6 +47,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_docs, drop, mix, store_split, table, trimmed, word_hashes
+from .common import Sums, binary_docs, drop, hashed_words, mix, store_split, table, trimmed
 
 WINDOW = 13
 LOW = 2
@@ -63,7 +64,7 @@ MARGIN = 2
 #: Bytes of text that are parsed at a time, and that ask together.
 BLOCK, GROUP = 1_000_000, 8_000_000
 #: Names in a bucket, about; and names for each byte of text, about.
-BUCKET, PER_BYTE = 1_500_000, 0.05
+BUCKET, PER_BYTE = 500_000, 0.05
 #: Windows that start in a high symbol which is worth a name.
 WORTH = 4
 #: Words of the longest low symbol; words at which a symbol of that length, seen by a window, can begin.
@@ -71,7 +72,6 @@ LONGEST = 1 << LOW
 WIDE = WINDOW - 2 * MARGIN - LONGEST + 1
 _NONE = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _labels(names: np.ndarray, r: int) -> np.ndarray:
@@ -100,22 +100,6 @@ def name_runs(names: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[
     return out, start[head]
 
 
-class Sums:
-    """Hashes of stretches of words, each by two lookups: a polynomial in an odd
-    number, taken back to the stretch's start by the inverse."""
-
-    def __init__(self, h: np.ndarray) -> None:
-        n = len(h)
-        self.sum = np.zeros(n + 1, np.uint64)
-        power = np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), _STEP)])[:n]
-        np.cumsum(h * power, out=self.sum[1:])
-        self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, _BACK)])
-
-    def hashes(self, begin: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-        size = (end - begin).astype(np.uint64)
-        return mix((self.sum[end] - self.sum[begin]) * self.back[begin] ^ mix(size * np.uint64(64) + np.uint64(salt)))
-
-
 def _least(x: np.ndarray) -> np.ndarray:
     """Least of each WIDE values that follow one another."""
     out, width = x, 1
@@ -128,13 +112,11 @@ def _least(x: np.ndarray) -> np.ndarray:
 class Block:
     """Hashes and symbols of some documents one after the other."""
 
-    def __init__(self, texts: list[list[bytes]], memo: WordHashes) -> None:
-        size = np.array([len(w) for w in texts], np.int64)
-        self.end = np.cumsum(size)
-        self.begin = self.end - size
-        self.hash = word_hashes([w for ws in texts for w in ws], memo)
+    def __init__(self, texts: list[bytes]) -> None:
+        self.hash, place = hashed_words(texts)
+        self.begin, self.end = place[:-1], place[1:]
         self.size = n = len(self.hash)
-        self.doc = np.repeat(np.arange(len(texts)), size)
+        self.doc = np.repeat(np.arange(len(texts)), self.end - self.begin)
         #: Words at which a window starts.
         self.starts = np.arange(n) + WINDOW <= self.end[self.doc]
         self.sums = Sums(self.hash)
@@ -273,7 +255,7 @@ def _answered(group: pa.Table) -> pa.Table:
 
 
 #: kind 0: a block of texts; kind 1: names for a bucket; kind 2: a document of the result.
-_ROWS = "kind int, part long, bucket int, ids array<long>, size long, data binary, marks binary, doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
+_ROWS = "kind int, part long, bucket int, ids array<long>, sizes array<long>, data binary, marks binary, doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary(), "string": pa.string()}
 _SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _ROWS.split(", ")])
 
@@ -288,22 +270,25 @@ def _asks(part: int, asked: Asked) -> Iterator[pa.RecordBatch]:
         yield _rows(1, 1, part=[part], bucket=[bucket], data=[data])
 
 
-def _packed(part: int, ids: list, texts: list[list[bytes]], marks: bytes | None = None) -> pa.RecordBatch:
-    data = b"\n".join(b" ".join(ws) for ws in texts)
-    return _rows(0, 1, part=[part], ids=[ids], size=[len(data)], data=[pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)], marks=[marks])
+def _packed(part: int, ids: list, texts: list[bytes], marks: bytes | None = None) -> pa.RecordBatch:
+    data = pa.Codec("zstd", compression_level=3).compress(b"".join(texts), asbytes=True)
+    return _rows(0, 1, part=[part], ids=[ids], sizes=[[len(t) for t in texts]], data=[data], marks=[marks])
 
 
-def _texts(row: dict) -> list[list[bytes]]:
-    return [x.split() for x in pa.decompress(row["data"], row["size"], codec="zstd", asbytes=True).split(b"\n")]
+def _texts(row: dict) -> list[bytes]:
+    end = np.cumsum(row["sizes"]).tolist()
+    data = pa.decompress(row["data"], end[-1], codec="zstd", asbytes=True)
+    return [data[a:b] for a, b in zip([0, *end], end, strict=False)]
 
 
-def _done(ids: list, texts: list[list[bytes]], gone: list[np.ndarray | None], keep: bool) -> pa.RecordBatch:
-    """Rows of the result; gone marks each document's words that go, None stands for none. With keep, the words that stay are in it."""
-    kept = []
-    for ws, g in zip(texts, gone, strict=True):
-        kept.append(b" ".join(ws if g is None or not g.any() else [ws[i] for i in np.flatnonzero(~g)]))
+def _done(ids: list, texts: list[bytes], gone: list[np.ndarray], keep: bool) -> pa.RecordBatch:
+    """Rows of the result; gone marks each document's words that go. With keep, the words that stay are in it."""
+    kept, removed = [], [int(g.sum()) for g in gone]
+    for text, g, n in zip(texts, gone, removed, strict=True):
+        words = text.split()
+        kept.append(b" ".join(compress(words, (~g).tolist()) if n else words))
     return _rows(
-        2, len(ids), doc_id=ids, n_words=[len(ws) for ws in texts], n_removed=[0 if g is None else int(g.sum()) for g in gone],
+        2, len(ids), doc_id=ids, n_words=[len(g) for g in gone], n_removed=removed,
         kept_sha256=[hashlib.sha256(k).hexdigest() for k in kept], kept=kept if keep else [None] * len(kept),
     )
 
@@ -325,9 +310,9 @@ def _docs_of(ids: list) -> tuple[np.ndarray, np.ndarray]:
 class Named:
     """A block with what it asks about: its low and high symbols, and each one's document."""
 
-    def __init__(self, ids: list, texts: list[list[bytes]], memo: WordHashes) -> None:
+    def __init__(self, ids: list, texts: list[bytes]) -> None:
         self.ids, self.null = _docs_of(ids)
-        self.block = block = Block(texts, memo)
+        self.block = block = Block(texts)
         block.symbols()
         if self.null.any() and block.size >= WINDOW:
             own = ~self.null[block.doc]
@@ -356,11 +341,11 @@ class Named:
 
 def _named(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part = WordHashes(), TaskContext.get().partitionId() << 40
+        part = TaskContext.get().partitionId() << 40
         ids, texts, size, total, names, docs = [], [], 0, 0, [], []
 
         def block() -> pa.RecordBatch:
-            named = Named(ids, texts, memo)
+            named = Named(ids, texts)
             names.append(named.names)
             docs.append(named.docs)
             return _packed(part, ids, texts)
@@ -369,7 +354,7 @@ def _named(buckets: int) -> Callable:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = body.as_py() or b""
                 ids.append(doc_id)
-                texts.append(text.split())
+                texts.append(text)
                 size += len(text)
                 if size >= BLOCK:
                     yield block()
@@ -393,9 +378,9 @@ def _windows(buckets: int, keep: bool) -> Callable:
     """Answers about symbols -> documents that are done, and the windows that the others ask about."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        memo, out, names, docs = WordHashes(), [], [], []
+        out, names, docs = [], [], []
         rows = blocks.to_pylist()
-        named = [Named(r["ids"], _texts(r), memo) for r in rows]
+        named = [Named(r["ids"], _texts(r)) for r in rows]
         asked = Asked([x.names for x in named], [x.docs for x in named], buckets)
         asked.read(_by_bucket(answers))
         part = rows[0]["part"]
@@ -409,7 +394,7 @@ def _windows(buckets: int, keep: bool) -> Callable:
             at = np.flatnonzero(open_)
             names.append(block.windows(at))
             docs.append(own.ids[block.doc[at]])
-            cut = [gone[a:b] if b > a else None for a, b in zip(block.begin, block.end, strict=True)]
+            cut = [gone[a:b] for a, b in zip(block.begin, block.end, strict=True)]
             rest = np.flatnonzero(~ask)
             if len(rest):
                 out.append(_done([row["ids"][i] for i in rest], [texts[i] for i in rest], [cut[i] for i in rest], keep))
@@ -429,9 +414,9 @@ def _removed(buckets: int, keep: bool) -> Callable:
     """Answers about windows -> the documents that asked."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        memo, held = WordHashes(), []
+        held = []
         for row in blocks.to_pylist():
-            block = Block(_texts(row), memo)
+            block = Block(_texts(row))
             n = block.size
             marks = np.frombuffer(pa.decompress(row["marks"], -(-2 * n // 8), codec="zstd", asbytes=True), np.uint8)
             verified, open_ = np.unpackbits(marks, count=2 * n).astype(bool).reshape(2, n)
@@ -459,7 +444,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = body.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(32, int(size * PER_BYTE / BUCKET))
     blocks, asks, _ = store_split(body.mapInArrow(trimmed(_named(buckets)), _ROWS), "names", "kind", 3)
-    texts_of = lambda df: df.select("part", "ids", "size", "data", "marks").groupBy("part")
+    texts_of = lambda df: df.select("part", "ids", "sizes", "data", "marks").groupBy("part")
     names_of = lambda df: df.select("part", "bucket", "data")
     replies = _answers(names_of(asks)).groupBy("part")
     again, windows, done = store_split(texts_of(blocks).cogroup(replies).applyInArrow(_windows(buckets, texts), _ROWS), "windows", "kind", 3)

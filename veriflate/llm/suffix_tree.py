@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_docs, drop, store, table, word_hashes
+from .common import binary_docs, drop, hashed_words, mix, store, table, trimmed
 
 #: At most 6, so that DEPTH + 1 bytes are a positive number of 64 bits.
 DEPTH = 6
@@ -72,38 +72,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Ids and words of some documents."""
-    ids, words, size = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of some documents: lower-cased words, joined by one space."""
+    ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = (body.as_py() or b"").lower()
+            texts.append(b" ".join((body.as_py() or b"").lower().split()))
             ids.append(doc_id)
-            words.append(text.split())
-            size += len(text)
+            size += len(texts[-1])
             if size >= BLOCK:
-                yield ids, words
-                ids, words, size = [], [], 0
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
-        yield ids, words
+        yield ids, texts
 
 
 class Stream:
     """Documents one after the other, each after DEPTH end marks."""
 
-    def __init__(self, words: list[list[bytes]]) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
         pad = _END * DEPTH
-        self.bytes = np.frombuffer(b"".join(pad + b" ".join([*ws, _END]) for ws in words), np.uint8)
-        size = np.array([len(w) + 1 for ws in words for w in (*ws, b"")], np.int64)
-        self.doc = np.repeat(np.arange(len(words)), [len(ws) + 1 for ws in words])
-        #: First byte of each token; tokens are the words and one end a document.
-        self.token = np.cumsum(size) - size + DEPTH * (self.doc + 1)
-        self.last = np.r_[self.doc[1:] != self.doc[:-1], True] if len(self.doc) else np.empty(0, bool)
+        parts = [pad + t + b" " + _END if t else pad + _END for t in texts]
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.array([len(x) for x in parts], np.int64)
+        #: Behind each space a token begins, and behind the end marks that lead a document.
+        self.token = np.flatnonzero(self.bytes == 32) + 1
+        first = np.cumsum(size) - size + DEPTH
+        place = np.searchsorted(self.token, first)
+        self.token = np.insert(self.token, place, first)
+        self.first = place + np.arange(len(texts))
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[self.first, len(self.token)]))
 
     def predicted(self) -> np.ndarray:
         """Whether each byte belongs to a token."""
         real = np.ones(len(self.bytes), bool)
-        start = self.token[np.flatnonzero(np.r_[True, self.last[:-1]])] if len(self.token) else self.token
+        start = self.token[self.first]
         for i in range(1, DEPTH + 1):
             real[start - i] = False
         return real
@@ -166,8 +169,14 @@ def rare(stream: Stream, code: np.ndarray, table: np.ndarray) -> np.ndarray:
     return stream.predicted() & (table[_slots(context, SLOTS)] != context)
 
 
-def token_hashes(words: list[list[bytes]], memo: WordHashes) -> np.ndarray:
-    return word_hashes([w for ws in words for w in (*ws, _END)], memo)
+#: The end of a text as a token; no word has this hash on purpose.
+_END_HASH = mix(np.array([10], np.uint64))[0]
+
+
+def token_hashes(texts: list[bytes]) -> np.ndarray:
+    """The words and the end of each text."""
+    words, place = hashed_words(texts)
+    return np.insert(words, place[1:], _END_HASH)
 
 
 class _Sums:
@@ -204,14 +213,14 @@ class _Sums:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: word hashes, kind 1: DEPTH + 1 bytes as a number; a held-out document's bytes come with a count of 0."""
-    memo, sums = WordHashes(), (_Sums(), _Sums())
-    for ids, words in _blocks(batches):
+    sums = (_Sums(), _Sums())
+    for ids, texts in _blocks(batches):
         train = [i is None or zlib.crc32(b"%d" % i) % 10 != 0 for i in ids]
         for own in (True, False):
-            docs = [ws for ws, t in zip(words, train, strict=True) if t == own]
+            docs = [x for x, t in zip(texts, train, strict=True) if t == own]
             if docs:
                 if own:
-                    sums[0].add(token_hashes(docs, memo))
+                    sums[0].add(token_hashes(docs))
                 stream = Stream(docs)
                 sums[1].add(codes(stream)[stream.predicted()], own)
         for kind, s in enumerate(sums):
@@ -333,7 +342,7 @@ def _blocked(frequent, often) -> Callable:
         held = []
         for ids, docs in _blocks(batches):
             n = len(docs)
-            text = b"\n".join(b" ".join(ws) for ws in docs)
+            text = b"\n".join(docs)
             packed = pa.compress(text, codec="zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([row]), pa.array([ids], pa.list_(pa.int64())), pa.array([len(text)]), pa.array([packed], pa.binary()), pa.nulls(1, pa.int64())], names=names)
             row += n
@@ -350,8 +359,6 @@ def _blocked(frequent, often) -> Callable:
 
 
 def _scored(tree, words, frequent, often, total: int, kinds: int) -> Callable:
-    memo = WordHashes()
-
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         tables, (hot, hot_n) = tree.value, words.value
         below = np.log10(total + SMOOTH * (kinds + 1))
@@ -360,7 +367,7 @@ def _scored(tree, words, frequent, often, total: int, kinds: int) -> Callable:
         asked, known_values = asked[order], known_values[order]
         out = []
         for row, ids, length, packed in zip(*(block.column(c).to_pylist() for c in ("row", "ids", "size", "text")), strict=True):
-            docs = [x.split() for x in pa.decompress(packed, length, codec="zstd", asbytes=True).split(b"\n")]
+            docs = pa.decompress(packed, length, codec="zstd", asbytes=True).split(b"\n")
             rows = row + np.arange(len(ids))
             stream = Stream(docs)
             byte = logs(tables, stream.bytes).astype(np.float64)
@@ -378,7 +385,7 @@ def _scored(tree, words, frequent, often, total: int, kinds: int) -> Callable:
             # Behind a document's last token come the next one's marks: they add nothing.
             byte[~stream.predicted()] = 0.0
             part = np.add.reduceat(byte, stream.token)
-            own, place = np.unique(token_hashes(docs, memo), return_inverse=True)
+            own, place = np.unique(token_hashes(docs), return_inverse=True)
             if len(hot):
                 spot = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
                 n = np.where(hot[spot] == own, hot_n[spot], -1)
@@ -479,7 +486,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
     body = binary_docs(docs, id_col, text_col)
-    counts = body.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = body.mapInArrow(trimmed(_counted), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = store(counts, "counts")
     sums = {r["kind"]: (r["n"], r["kinds"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     total, kinds = sums.get(0, (0, 0))
@@ -495,7 +502,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     most = values.filter(rank.isin([r for (r, _), fits in zip(ranks, room, strict=True) if fits])).select("code", "n", "value").toArrow()
     order = np.argsort(most.column("n").to_numpy(), kind="stable")
     table = share_of(code_table(most.column("code").to_numpy()[order].view(np.uint64), most.column("value").to_numpy()[order]))
-    blocks = store(body.mapInArrow(_blocked(frequent, table), _BLOCKS), "blocks")
+    blocks = store(body.mapInArrow(trimmed(_blocked(frequent, table)), _BLOCKS), "blocks")
     asks = blocks.filter("code is not null").select("block", "code")
     answers = asks.join(values.select("code", "value"), "code").select(F.col("block").alias("to"), "code", "value")
     often = counts.filter((F.col("kind") == 0) & (F.col("n") >= HOT * total)).select("key", "n").toArrow()
