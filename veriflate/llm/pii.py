@@ -256,4 +256,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = detect(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return df.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+    return df.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters: the words of a fixed list of insults; words and beginnings of words that labelled
-rows show to be marks of toxic texts, dealt to LEXICONS lexicon voters; and pattern voters
-(address in the second person, shouting, repeated marks, several insults).
-A voter votes 1 or 0 on each document.
+Voters: the words of a fixed list of insults; all words and beginnings of words that labelled
+rows show to be marks of toxic texts, dealt to LEXICONS lexicon voters by their evidence (the
+first voter has the FIRST strongest, each next one twice as many, the last one the rest, so that
+the model can trust each as far as it goes); and pattern voters (address in the second person,
+shouting, repeated marks, several insults). A voter votes 1 or 0 on each document.
 
 A generative label model explains the votes: class prior, a rate of votes for
 each voter and class, and the strongest correlations between voters as a tree
@@ -11,12 +12,15 @@ each voter and class, and the strongest correlations between voters as a tree
 largest sum of mutual information given the class). Expectation-maximisation
 runs over the counted vote patterns, of which there are at most 2^VOTERS, with
 the class known for labelled training rows. A linear (logistic) classifier is
-then fitted to the posteriors on a bounded sample of rows; its features are the
-votes and a few counts from the same voters, and its score is the result.
+then fitted to the posteriors on a bounded sample of rows of either side of the
+model's verdict, weighted back to their true counts, so that rare toxic texts are
+not a handful among clean ones; its features are the votes and a few counts from
+the same voters, and its score is the result.
 
 Labels are read only from rows whose crc32(id) mod 5 is not 0; at most SAMPLE
-labelled rows a class choose the words, and at most SAMPLE rows fit the
-classifier (first by a hash of the id). Pattern counts cover all documents.
+labelled rows a class choose the words (which bounds the marks), and at most
+SAMPLE rows a side fit the classifier (first by a hash of the id). Pattern counts
+cover all documents.
 
 Cases: null and empty texts score like any text without a vote; without labels
 the fixed list and the patterns vote alone; a null doc_id is not held out and
@@ -42,9 +46,7 @@ from .common import binary_docs, store, table
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "jerk", "bastard", "asshole", "bitch", "shit", "fuck", "fucking", "retard")
 SECOND = frozenset(w.encode() for w in ("you", "your", "yours", "u", "du", "dich", "dein", "ihr", "tu", "te", "vous", "toi", "ton", "usted", "vosotros"))
 LEXICONS = 6
-WORDS = 60
-#: Marks by evidence from which those are thinned out.
-POOL = 1500
+FIRST = 10
 #: Bytes of a word's beginning that can be a mark.
 BEGINNINGS = (4, 5, 6)
 SAMPLE = 10_000
@@ -80,40 +82,51 @@ def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), n if y else zero, zero if y else n], names=["word", "toxic", "clean"])
 
 
-def _thinned(found: list[tuple[bytes, int]]) -> list[bytes]:
-    """At most WORDS marks of (mark, toxic rows), most rows first: no mark that
-    an accepted beginning covers, no beginning that says little more than the
-    accepted marks below it."""
-    out: dict[bytes, int] = {}
-    for mark, n in sorted(found, key=lambda x: (-x[1], -len(x[0]), x[0])):
+def _thinned(found: list[tuple[bytes, int, float]]) -> list[bytes]:
+    """Marks of (mark, toxic rows, evidence), strongest evidence first: no mark
+    that an accepted beginning covers, no beginning that says little more than an
+    accepted mark below it. Beginnings that are in more toxic rows come first."""
+    out: dict[bytes, float] = {}
+    below: dict[bytes, int] = {}
+    for mark, n, evidence in sorted(found, key=lambda x: (-x[1], -len(x[0]), x[0])):
         stem = mark.rstrip(b"*")
-        if any(o.endswith(b"*") and stem.startswith(o[:-1]) for o in out):
+        starts = [stem[:k] for k in BEGINNINGS if len(stem) >= k]
+        if any(x + b"*" in out for x in starts) or (mark.endswith(b"*") and below.get(stem, 0) >= 0.9 * n):
             continue
-        if mark.endswith(b"*") and max((m for o, m in out.items() if o.startswith(stem)), default=0) >= 0.9 * n:
-            continue
-        out[mark] = n
-        if len(out) == WORDS:
-            break
-    return list(out)
+        out[mark] = evidence
+        for x in starts:
+            below[x] = max(below.get(x, 0), n)
+    return sorted(out, key=lambda m: (-out[m], m))
+
+
+def dealt(words: list[bytes]) -> dict[bytes, int]:
+    """The lexicon voter of each mark, strongest marks first."""
+    out, at, size = {}, 0, FIRST
+    for i in range(LEXICONS):
+        part = words[at : at + size] if i < LEXICONS - 1 else words[at:]
+        out.update(dict.fromkeys(part, i))
+        at, size = at + size, 2 * size
+    return out
 
 
 def lexicon(body: DataFrame, chosen: DataFrame) -> list[bytes]:
-    """At most WORDS marks by evidence, best first. chosen(id, toxic) is bounded by 2 * SAMPLE rows."""
+    """All marks with enough evidence, strongest first. chosen(id, toxic) is bounded by 2 * SAMPLE rows."""
     n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return []
     rows = body.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "body", "toxic")
     counts = rows.mapInArrow(_mark_counts, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = (F.col("t") + 0.5) / n[1] / ((F.col("c") + 0.5) / n[0])
-    best = counts.filter((F.col("t") >= LEAST) & (odds >= RATIO)).orderBy(F.desc("t"), "c", "word").limit(POOL)
-    return _thinned([(bytes(r["word"]), r["t"]) for r in best.collect()])
+    best = counts.filter((F.col("t") >= LEAST) & (odds >= RATIO)).select("word", "t", (F.col("t") * F.log(odds)).alias("evidence"))
+    return _thinned([(bytes(r["word"]), r["t"], r["evidence"]) for r in best.collect()])
 
 
 def voter(words: list[bytes]) -> Callable[[bytes], tuple[int, list[float]]]:
     """Votes as bits, and the classifier's features."""
     fixed = frozenset(w.encode() for w in INSULTS)
-    whole = {w: i % LEXICONS for i, w in enumerate(words) if not w.endswith(b"*")}
-    begins = {w[:-1]: i % LEXICONS for i, w in enumerate(words) if w.endswith(b"*")}
+    by = dealt(words)
+    whole = {w: i for w, i in by.items() if not w.endswith(b"*")}
+    begins = {w[:-1]: i for w, i in by.items() if w.endswith(b"*")}
     # One search finds the words that begin with a mark.
     begin = re.compile(rb"(?<![a-z\x80-\xff])(" + b"|".join(sorted(begins, key=lambda w: (-len(w), w))) + rb")[a-z\x80-\xff]") if begins else None
 
@@ -207,8 +220,9 @@ def label_model(patterns: list[tuple[int, int, int]]) -> dict[tuple[int, int], f
     return {(int(b), int(c)): float(p) for b, c, p in zip(bits, y, post, strict=True)}
 
 
-def fit(x: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:
     """Weights (the intercept last) of logistic regression on soft targets, by Newton steps."""
+    weight = np.ones(len(target)) if weight is None else weight
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     w[-1] = -3.0
@@ -220,12 +234,12 @@ def fit(x: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
-        return float((np.logaddexp(0, z) - target * z).sum() + (pull * v * v).sum() / 2)
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + (pull * v * v).sum() / 2)
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + pull * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(pull), grad)
+        grad = x.T @ (weight * (p - target)) + pull * w
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(pull), grad)
         now, size = loss(w), 1.0
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2
@@ -235,6 +249,23 @@ def fit(x: np.ndarray, target: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _training(joined: DataFrame, counts: list[tuple[int, int, int]], posterior: dict[tuple[int, int], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, posteriors and weights of at most SAMPLE rows on either side of the verdict, none of them held out."""
+    sides = joined.sparkSession.createDataFrame([(b, y, posterior[b, y] >= 0.5) for b, y, _ in counts], "b int, y int, toxic boolean")
+    rows = joined.filter(~held_out()).join(F.broadcast(sides), (F.col("bits") == F.col("b")) & (F.col("label") == F.col("y")))
+    xs, target, weight = [], [], []
+    for side in (False, True):
+        own = rows.filter(F.col("toxic") == side)
+        total = own.count()
+        found = own.orderBy(F.xxhash64("doc_id"), "doc_id", "bits").limit(SAMPLE).select("bits", "label", "features").collect()
+        xs += [r["features"] for r in found]
+        target += [posterior[r["bits"], r["label"]] for r in found]
+        # Weights sum to the rows that were taken, so that the ridge stays what it is.
+        weight += [total / len(found)] * len(found) if found else []
+    w = np.array(weight, float)
+    return np.array(xs, float).reshape(-1, FEATURES), np.array(target, float), w * (len(w) / w.sum()) if len(w) else w
+
+
 def score_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row. labels has doc_id and toxic (0 or 1)."""
     body = binary_docs(docs, id_col, text_col)
@@ -244,10 +275,9 @@ def score_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     words = lexicon(body, store(firsts[0].union(firsts[1]), "chosen"))
     votes = store(body.mapInArrow(_voted(words), "doc_id long, bits int, features array<double>"), "votes")
     joined = store(votes.join(known, F.col("doc_id") == F.col("id"), "left").select("doc_id", "bits", "features", F.coalesce("toxic", F.lit(-1)).alias("label")), "joined")
-    posterior = label_model([tuple(r) for r in joined.groupBy("bits", "label").count().collect()])
-    train = joined.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "bits").limit(SAMPLE).select("bits", "label", "features").collect()
-    x = np.array([r["features"] for r in train], float).reshape(-1, FEATURES)
-    weights = fit(x, np.array([posterior[r["bits"], r["label"]] for r in train], float))
+    counts = [tuple(r) for r in joined.groupBy("bits", "label").count().collect()]
+    posterior = label_model(counts)
+    weights = fit(*_training(joined, counts, posterior))
     line = F.lit(float(weights[-1]))
     for i in range(FEATURES):
         line = line + F.col("features")[i] * F.lit(float(weights[i]))
