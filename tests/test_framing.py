@@ -13,6 +13,7 @@ from veriflate.sources.deflate_writer import GzipWriter, bgzf, bgzf_block, compr
 from veriflate.sources.framing import BGZF_END, bgzf_link, crc32_combine, header, parse_header
 from veriflate.sources.inflate import Member, decode, decode_all
 from veriflate.sources.planning import BGZF, MEMBERS, SEQUENTIAL, candidates, plan
+from veriflate.sources.datasource import block_parts
 from veriflate.sources.scan import chain
 
 TEXT = b"a line of text, again and again\n" * 90
@@ -149,7 +150,10 @@ def test_plans():
     assert [r.start for r in ranges[1:]] == [r.end for r in ranges[:-1]] and ranges[-1].end == len(blocks)
     assert blocks.endswith(BGZF_END) and bgzf_link(BGZF_END, 0, 28) == (18, 28) and bgzf_link(BGZF_END, 0, 27) is None
     broken = blocks[:-28] + compress(b"plain")
-    assert plan(MemorySource(broken), DecodeConfig())[-1].kind == SEQUENTIAL
+    # Stated sizes are for the data source alone; where they end, so does the last part with known ends.
+    parts = block_parts("x", MemorySource(broken), DecodeConfig(task_bytes=500))
+    assert parts[-1].last == -1 and all(p.last > 0 for p in parts[:-1]) and parts[-1].range.start == len(blocks) - 28
+    assert [p.range.start for p in parts[1:]] == [p.range.end for p in parts[:-1]] and parts[-1].range.end == len(broken)
     assert [r.kind for r in plan(MemorySource(blocks), DecodeConfig(threads=1))] == [SEQUENTIAL]
     members = b"".join(compress(bytes(str(i), "ascii") * 500, WriteConfig(level=0)) for i in range(9))
     assert {r.kind for r in plan(MemorySource(members), DecodeConfig(grid_size=1024))} == {MEMBERS}

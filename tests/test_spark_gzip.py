@@ -14,7 +14,8 @@ from veriflate.operators import streams
 from veriflate.plans import bench_summary, generators
 from veriflate.sources import scan
 from veriflate.sources.datasource import register
-from veriflate.sources.deflate_writer import bgzf, compress
+from veriflate.sources.deflate_writer import bgzf, bgzf_block, compress
+from veriflate.sources.framing import bgzf_link
 from veriflate.streaming.watch import verified_files
 
 BODY = b"".join(b"line %d of the file\n" % i for i in range(4000)) + b"no newline at the end"
@@ -49,7 +50,9 @@ def test_members_chunks_and_lines(spark, folder, config):
         data = gzip.decompress((folder / os.path.basename(r.path)).read_bytes())
         assert (r.crc32, r.length) == (zlib.crc32(data), len(data))
     parts = scan.chunks(found, config)
-    lines = scan.lines(parts.filter(F.col("path").endswith("members.gz") | F.col("path").endswith("mixed.gz")))
+    whole = parts.groupBy("path").agg(F.sum(F.octet_length("data")).alias("n"), F.count("*").alias("chunks")).collect()
+    assert all(r.n == report[os.path.basename(r.path)].decompressed_bytes for r in whole)
+    lines = scan.lines(found.filter(~F.col("path").endswith("trap.gz")), config)
     for path, rows in lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "value")))).collect():
         assert [bytes(r.value) for r in rows] == BODY.split(b"\n"), path
         assert [r.line_no for r in rows] == list(range(len(rows)))
@@ -95,7 +98,7 @@ def test_data_source(spark, folder, tmp_path_factory):
         rows.write.format("verified_gzip").option("path", out).option("bgzf", blocked).option("level", "9").mode("append").save()
         report = json.load(open(os.path.join(out, "_REPORT.json")))
         assert sum(r["compressed_bytes"] for r in report) == sum(os.path.getsize(os.path.join(out, r["path"])) for r in report)
-        back = scan.lines(scan.chunks(scan.members(spark, out + "/part-*")))
+        back = scan.lines(scan.members(spark, out + "/part-*"))
         assert {bytes(r.value).decode() for r in back.collect()} == {r.value for r in rows.collect()}
 
 
@@ -163,3 +166,59 @@ def test_concatenated_members_of_a_large_group_go_to_several_files(spark, tmp_pa
         assert g == "cold" or len(files) > 1
     report = scan.report(scan.members(spark, f"{tmp_path}/*/*.gz"), scan.list_files(spark, f"{tmp_path}/*/*.gz")).collect()
     assert sum(r.member_count for r in report) == len(bodies) and all(r.crc_verified for r in report)
+
+
+def bad_block_size(data):
+    """The BGZF stream with its second block's stated size spanning two blocks; gzip reads it."""
+    first = bgzf_link(data, 0, len(data))[1]
+    second = bgzf_link(data[first:], 0, len(data) - first)[1]
+    third = bgzf_link(data[first + second :], 0, len(data) - first - second)[1]
+    return data[: first + 16] + (second + third - 1).to_bytes(2, "little") + data[first + 18 :]
+
+
+def test_verified_ends_decide_not_stated_sizes(spark, tmp_path):
+    blocks = bgzf(BODY, payload=3000)
+    inner = bgzf(BODY[:9000], payload=1000)
+    files = {
+        "spans.gz": bad_block_size(blocks),
+        "inner.gz": bgzf(BODY[:5000], payload=999) + compress(inner, WriteConfig(level=0)) + bgzf(BODY[5000:], payload=999),
+        "stored.gz": b"".join(bgzf_block(inner[i : i + 2000], WriteConfig(level=0)) for i in range(0, len(inner), 2000)),
+        "cut.gz": blocks[: len(blocks) // 2],
+        "empty_members.gz": b"".join(compress(x) for x in (b"", b"a\nb", b"", b"c\n", b"", b"d", b"")),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        if name != "cut.gz":
+            assert gzip.decompress(data)
+    keep = [c.strip().split(" ")[0] for c in scan.PLACED.split(",") if "decode_path" not in c]
+    rows = {}
+    for config in (DecodeConfig(threads=1), DecodeConfig(task_bytes=700, grid_size=1024), DecodeConfig(task_bytes=5000, grid_size=4096)):
+        found = scan.members(spark, str(tmp_path), config)
+        got = sorted(map(tuple, found.select(*keep).collect()), key=lambda r: (r[0], r[2]))
+        assert rows.setdefault("want", got) == got
+        ok = found.filter(~F.col("path").endswith("cut.gz"))
+        lines = sorted(map(tuple, scan.lines(ok, config).select("path", "line_no", "value").collect()))
+        assert rows.setdefault("lines", lines) == lines
+    by_file = {}
+    for path, number, value in rows["lines"]:
+        by_file.setdefault(os.path.basename(path), []).append((number, bytes(value)))
+    for name in files.keys() - {"cut.gz"}:
+        want = gzip.decompress(files[name]).split(b"\n")
+        assert by_file[name] == list(enumerate(want if want[-1] else want[:-1])), name
+    register(spark)
+    read = spark.read.format("verified_gzip").options(mode="members", taskBytes="700")
+    with pytest.raises(Exception, match="blocks do not end where they say"):
+        read.load(str(tmp_path / "spans.gz")).count()
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(f"g{i % 3}" if i % 7 else None, i, (i * 37) % 101) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o long, n long")
+    got = {(r.g, r.o): (r.member_index, r.decoded_start) for r in streams.offsets(df, "g", "o", F.col("n")).collect()}
+    at = {}
+    for g, o, n in rows:
+        index, total = at.get(g, (0, 0))
+        assert got[g, o] == (index, total)
+        at[g] = (index + 1, total + n)
+    kept = {r.o for r in streams.within_limit(df, "g", "o", F.col("n"), 3000).collect()}
+    assert kept == {o for g, o, n in rows if got[g, o][1] + n <= 3000}

@@ -16,10 +16,9 @@ def _need(ok: bool, message: str) -> None:
 
 @dataclass(frozen=True)
 class DecodeConfig:
-    """threads 1 forces one partition a file; 0 lets planning decide.
-    memory_limit is accepted for callers that size executors by it: tasks hold
-    one page and one chunk whatever it says. A broken chain of members is always
-    read on from its last verified end."""
+    """threads 1 forces one partition a file; 0 lets planning decide; more bound the tasks of a file.
+    in_flight_chunks and memory_limit are accepted for callers that size executors by them: a task hands each chunk on before
+    it decodes the next, and holds one page and one chunk whatever they say."""
 
     threads: int = 0
     chunk_size: int = 4 * MIB
@@ -29,6 +28,11 @@ class DecodeConfig:
     output_limit: int | None = None
     memory_limit: int = 0
     max_header_size: int = 1 * MIB
+    in_flight_chunks: int = 0
+    #: Decode single members in parallel as well (sources.marker).
+    marker_path: bool = False
+    #: Read on in sequence, from the last verified end, where the chain of members breaks; without, that is an error row.
+    allow_sequential_fallback: bool = True
     #: Compressed bytes that one task reads of a blocked file.
     task_bytes: int = 32 * MIB
 
@@ -41,6 +45,7 @@ class DecodeConfig:
         _need(self.output_limit is None or self.output_limit > 0, "output_limit must be positive")
         _need(self.memory_limit >= 0, "memory_limit must not be negative")
         _need(KIB <= self.max_header_size <= 64 * MIB, "max_header_size must lie between 1 KiB and 64 MiB")
+        _need(self.in_flight_chunks >= 0, "in_flight_chunks must not be negative")
         _need(self.task_bytes > 0, "task_bytes must be positive")
 
 

@@ -9,7 +9,7 @@ from typing import BinaryIO
 
 from .config import DecodeConfig, WriteConfig
 from .errors import CANCELLED, OUTPUT_IO, GzipError
-from .sources.bytes_at import MemorySource, PathSource
+from .sources.bytes_at import MemorySource, PathSource, StreamSource
 from .sources.deflate_writer import GzipWriter, WriteReport
 from .sources.inflate import Member, decode
 
@@ -24,11 +24,12 @@ class DecodeReport:
 
 
 class Reader:
-    """Forward-only reading of a path or of bytes; finish() verifies all that
-    was not read. There is no seeking and no writing."""
+    """Forward-only reading of a path, of bytes, or of a file object that is read
+    forward only and stays open; finish() verifies all that was not read. There
+    is no seeking and no writing."""
 
-    def __init__(self, source: str | bytes, config: DecodeConfig | None = None) -> None:
-        self._source = MemorySource(source) if isinstance(source, bytes) else PathSource(source)
+    def __init__(self, source: str | bytes | BinaryIO, config: DecodeConfig | None = None) -> None:
+        self._source = MemorySource(source) if isinstance(source, bytes) else PathSource(source) if isinstance(source, str) else StreamSource(source)
         self._steps = decode(self._source, config or DecodeConfig())
         self._held, self._cancelled, self._report = b"", False, DecodeReport()
 
@@ -84,7 +85,7 @@ class Reader:
         self._source.close()
 
 
-def decode_to(source: str | bytes, out: BinaryIO, config: DecodeConfig | None = None) -> DecodeReport:
+def decode_to(source: str | bytes | BinaryIO, out: BinaryIO, config: DecodeConfig | None = None) -> DecodeReport:
     reader = Reader(source, config)
     try:
         for part in reader:

@@ -15,7 +15,8 @@ from ..sources.bytes_at import MemorySource
 from ..sources.deflate_writer import bgzf as _bgzf
 from ..sources.deflate_writer import compress
 from ..sources.inflate import Member, decode, decode_all
-from ..sources.scan import MEMBER, _failed, _frame, _ok
+from ..sources.planning import SEQUENTIAL, Range
+from ..sources.scan import MEMBER, _frame, range_members
 
 
 def gzip(data: Column, config: WriteConfig | None = None) -> Column:
@@ -88,33 +89,28 @@ def gzip_verify(data: Column, config: DecodeConfig | None = None) -> Column:
 
 def gzip_members(df: DataFrame, key: str, data: str, config: DecodeConfig | None = None) -> DataFrame:
     """Rows of sources.scan.MEMBER for the stream in column data; path is the key as a string."""
-    c = config or DecodeConfig()
+    c, width = config or DecodeConfig(), len(MEMBER.split(","))
 
     def run(batches):
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not body.is_valid:
                     continue
-                rows, at, index, total = [], 0, 0, 0
-                try:
-                    for x in decode(MemorySource(body.as_py()), c):
-                        if isinstance(x, Member):
-                            rows.append(_ok(name, x, "sequential"))
-                            at, index, total = x.end, x.index + 1, x.decoded_start + x.length
-                except GzipError as e:
-                    rows.append(_failed(name, index, at, total, e, "sequential"))
+                data = MemorySource(body.as_py())
+                rows = [row[:width] for row in range_members(data, name, Range(SEQUENTIAL, 0, data.size), c)]
                 yield _frame(rows, MEMBER)
 
     return df.select(F.col(key).cast("string").alias("path"), F.col(data).cast("binary").alias("data")).mapInArrow(run, MEMBER)
 
 
-def write_concatenated(df: DataFrame, group: str, order: str, data: str, folder: str, config: WriteConfig | None = None) -> DataFrame:
+def write_concatenated(df: DataFrame, group: str, order: str, data: str, folder: str, config: WriteConfig | None = None, ready: bool = False) -> DataFrame:
     """Write the members of each group's rows, one after the other in order, as
     files folder/group/part.gz, and return group, path when it runs. A large
     group has several files (ranges of order, in the order of their parts); a
-    task holds one batch of rows, so groups may have any size."""
+    task holds one batch of rows, so groups may have any size. With ready, data
+    holds whole members already."""
     made = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(data).alias("_d"))
-    made = made.repartitionByRange("_g", "_o").sortWithinPartitions("_g", "_o").select("_g", gzip(F.col("_d"), config).alias("_d"))
+    made = made.repartitionByRange("_g", "_o").sortWithinPartitions("_g", "_o").select("_g", (F.col("_d") if ready else gzip(F.col("_d"), config)).alias("_d"))
 
     def put(batches):
         from pyarrow import fs

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import EXIT_CODES
+
 #: Workload classes, and the modes of benchmark rows with their aliases.
 MODE_API, MODE_NULL, MODE_FILE, MODE_PIPE = "api-read-crc", "cli-stdout-null", "cli-file-output", "cli-pipe-wc"
 MODE_ALIASES = {
@@ -55,9 +57,22 @@ def ratio_text(x: Column) -> Column:
     return F.when(x > 0, decimals(x, 4)).otherwise("")
 
 
-def parse_number(text: Column, kind: str = "double", missing=0) -> Column:
-    """A number; missing where empty; bad texts raise."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")).cast(kind), F.lit(missing).cast(kind))
+def mean_text(total: Column, count: Column, places: int = 6) -> Column:
+    """A mean with fixed decimals, empty where nothing was counted."""
+    return F.when(F.coalesce(count, F.lit(0)) > 0, decimals(total / count, places)).otherwise("")
+
+
+def quoted(text: Column) -> Column:
+    """A CSV cell in quotes, quotes in it doubled."""
+    return F.concat(F.lit('"'), F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def parse_number(text: Column, kind: str = "double", missing=0, name: str = "") -> Column:
+    """A number; missing where empty; bad texts raise an error that names the column."""
+    found = F.nullif(F.trim(text), F.lit(""))
+    number = found.try_cast(kind)
+    bad = F.raise_error(F.concat(F.lit(f"bad number in {name or 'a column'}: "), text)).cast(kind)
+    return F.when(found.isNull(), F.lit(missing).cast(kind)).when(number.isNull(), bad).otherwise(number)
 
 
 def parse_bool(text: Column) -> Column:
@@ -70,6 +85,22 @@ def parse_list(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
+def parse_counts(text: Column) -> Column:
+    """Comma-separated positive whole numbers, each once; anything else raises."""
+    bad = F.raise_error(F.concat(F.lit("not a list of positive numbers: "), text)).cast("array<long>")
+    found = F.transform(parse_list(text), lambda x: x.try_cast("long"))
+    return F.when(F.exists(found, lambda x: x.isNull() | (x < 1)) | (F.size(found) == 0), bad).otherwise(found)
+
+
+def worker_target(most: Column, work: Column) -> Column:
+    """Tasks to begin with: twice the root of the most there may be, no more than there is work for, at least one."""
+    return F.greatest(F.least(most, F.ceil(2 * F.sqrt(most)).cast("long"), work), F.lit(1).cast("long"))
+
+
+def two_digits(n: Column) -> Column:
+    return F.format_string("%02d", n)
+
+
 def compression_ratio(compressed: Column, size: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(compressed / size)
 
@@ -98,6 +129,7 @@ def canonical_mode(text: Column) -> Column:
 
 def workload(path: Column) -> Column:
     """Class of a file by its name alone."""
+    # The literals are fixed values of the classes; the first class that fits counts.
     low = F.lower(path)
     name = F.element_at(F.split(low, "/"), -1)
     ends = lambda *x: _any(*(F.endswith(name, F.lit(e)) for e in x))
@@ -111,3 +143,11 @@ def workload(path: Column) -> Column:
         .when(blocked, "bgzf-gzip").when(joined, "concat-gzip").when(has(low, "stored"), "stored-gzip").when(has(low, "random"), "random-gzip")
         .when(has(low, "log", "text", "json", "tsv"), "text-gzip").when(zipped, "gzip").otherwise("unknown")
     )
+
+
+def exit_code(kind: Column) -> Column:
+    """Exit code of the command line for an error kind; 0 without an error."""
+    out = F.lit(1)
+    for name, code in EXIT_CODES.items():
+        out = F.when(kind == name, code).otherwise(out)
+    return F.when(kind.isNull(), 0).otherwise(out)

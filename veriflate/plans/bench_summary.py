@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MODE_API, canonical_mode, default_mode, parse_bool, parse_number
+from ..functions.scalars import MODE_API, canonical_mode, default_mode, decimals, parse_bool, parse_number, quoted
 
 RAW = ("dataset", "variant", "iteration", "threads", "wall_s", "exit_code")
 _TEXT = {"dataset", "workload", "mode", "variant", "paths"}
@@ -37,7 +37,7 @@ def load(spark: SparkSession, path: str, columns: tuple[str, ...] = DECODE, own:
             return parse_bool(F.col(c)).alias(c)
         if c in _OPTIONAL:
             return F.nullif(F.trim(c), F.lit("")).cast("double").alias(c)
-        return parse_number(F.col(c), "double" if c in _DOUBLE else "long").alias(c)
+        return parse_number(F.col(c), "double" if c in _DOUBLE else "long", name=c).alias(c)
 
     return raw.select(F.monotonically_increasing_id().alias("row_no"), *map(typed, columns))
 
@@ -96,3 +96,35 @@ def writer_summary(rows: DataFrame, base: str = "gzip", rival: str = "pigz-p1")
     w = Window.partitionBy("dataset", "level")
     to = lambda v: F.max(F.when(F.col("variant") == v, F.col("mean_wall_s"))).over(w) / F.col("mean_wall_s")
     return g.withColumn("speedup_vs_gzip", to(base)).withColumn("speedup_vs_pigz_p1", to(rival)).orderBy("dataset", "level", "variant")
+
+
+def csv_value(rows: DataFrame, columns: tuple[str, ...] = DECODE, places: int = 6) -> Column:
+    """rows as CSV lines in the given columns' order: texts in quotes, numbers
+    with a fraction in fixed decimals, missing numbers empty."""
+    kinds = dict(rows.dtypes)
+
+    def cell(c: str) -> Column:
+        if kinds[c] == "string":
+            return quoted(F.col(c))
+        text = decimals(F.col(c), places) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+        return F.when(F.col(c).isNull(), "").otherwise(text)
+
+    return F.concat_ws(",", *map(cell, columns))
+
+
+def write_csv(rows: DataFrame, path: str, columns: tuple[str, ...] = DECODE) -> None:
+    """Text files of csv_value(), each file with the header that load() reads."""
+    out = rows.select(csv_value(rows, columns).alias("value"))
+    heading = ",".join(columns)
+
+    def headed(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([heading], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    out.mapInArrow(headed, "value string").write.text(path)

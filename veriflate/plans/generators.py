@@ -41,11 +41,60 @@ def jump(state: int, steps: int) -> int:
 
 
 def random_bytes(count: int, first: int = 0) -> bytes:
-    out, s = np.empty(count, np.uint8), jump(START, first)
-    for i in range(count):
-        s = (A * s + C) & 0xFFFFFFFF
-        out[i] = s >> 24
-    return out.tobytes()
+    """count bytes from step first on: runs of states double, each being the run before it moved on by its length."""
+    out = np.empty(max(count, 1), np.uint64)
+    out[0] = jump(START, first + 1)
+    size, a, c = 1, A, C
+    while size < count:
+        more = min(size, count - size)
+        out[size : size + more] = (out[:more] * np.uint64(a) + np.uint64(c)) & np.uint64(0xFFFFFFFF)
+        a, c, size = a * a & 0xFFFFFFFF, (a + 1) * c & 0xFFFFFFFF, size + more
+    return (out[:count] >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def record_set(spark: SparkSession, kind: str, size: int) -> DataFrame:
+    """line_no, value: lines of log_lines or fastq_lines (kind log or fastq) up to the record that reaches size bytes."""
+    if kind not in ("log", "fastq"):
+        raise ValueError(f"unknown kind of records: {kind}")
+    # No record is shorter than this.
+    most = -(-size // 64) + 1
+    lines, each = (log_lines(spark, most), 1) if kind == "log" else (fastq_lines(spark, most), 4)
+    from ..operators.streams import running
+
+    record = F.floor(F.col("line_no") / each)
+    long = lines.select("line_no", "value", F.lit(0).alias("_all"), (F.octet_length("value") + 1).alias("_long"))
+    ends = running(long, "_all", "line_no", F.col("_long"))
+    before = ends.withColumn("_record", record).groupBy("_record").agg(F.min("_sum").alias("_before")).filter(F.col("_before") < size).select("_record")
+    return lines.withColumn("_record", record).join(before, "_record", "left_semi").select("line_no", "value")
+
+
+def record_crc(lines: DataFrame) -> DataFrame:
+    """bytes, crc32 of a record set's lines in order, each with its newline: checksums of parts, folded in order."""
+    from ..sources.framing import crc32_combine
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        crc = n = 0
+        first = None
+        for batch in batches:
+            if batch.num_rows:
+                first = batch.column(0)[0].as_py() if first is None else first
+                data = b"".join(v.encode() + b"\n" for v in batch.column(1).to_pylist())
+                crc, n = zlib.crc32(data, crc), n + len(data)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([crc], pa.int64()), pa.array([n], pa.int64())], names=["at", "crc32", "length"])
+
+    def whole(pdf):
+        import pandas as pd
+
+        crc = total = 0
+        for c, n in pdf.sort_values("at")[["crc32", "length"]].itertuples(index=False):
+            crc, total = crc32_combine(crc, int(c), int(n)), total + int(n)
+        return pd.DataFrame({"bytes": [total], "crc32": [crc]})
+
+    ranged = lines.select("line_no", "value").repartitionByRange("line_no").sortWithinPartitions("line_no")
+    return ranged.mapInArrow(part, "at long, crc32 long, length long").groupBy().applyInPandas(whole, "bytes long, crc32 long")
 
 
 def random_blocks(spark: SparkSession, count: int, block: int = 65536) -> DataFrame:

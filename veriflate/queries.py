@@ -5,8 +5,6 @@ compares what comes out with SQL over the original table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +18,7 @@ from .plans import bench_summary
 from .sources import scan
 from .sources.datasource import register
 from .sources.framing import BGZF_PAYLOAD
+from .sources.scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,21 +46,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("packed", gzip(F.col("body")))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/') if base else 'file://' + tempfile.gettempdir()}/veriflate-{uuid.uuid4().hex}"
-
-
 @query(f"""SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS member_index,
   {_BYTES} AS decoded_length, md5(coalesce(text, '')) AS md5 FROM documents""")
 def d03_member_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gzip_members(_documents(spark, sf_dir), "doc_id", "packed").select(F.col("path").cast("long").alias("_id"), "decoded_length", "status")
-    docs = _documents(spark, sf_dir).select("doc_id", "source", F.md5(gunzip(F.col("packed"))).alias("md5"))
-    both = docs.join(found.filter("status = 'OK'"), F.col("doc_id") == F.col("_id"))
-    return streams.offsets(both, "source", "doc_id", F.col("decoded_length")).select("source", "member_index", "decoded_length", "md5")
+    docs = _documents(spark, sf_dir).select("doc_id", "source", gunzip(F.col("packed")).alias("body"), gzip_verify(F.col("packed")).alias("r"))
+    docs = docs.filter("r.status = 'OK'").select("source", "doc_id", F.col("r.decoded_bytes").alias("decoded_length"), F.md5("body").alias("md5"))
+    return streams.offsets(docs, "source", "doc_id", F.col("decoded_length")).select("source", "member_index", "decoded_length", "md5")
 
 
 @query(f"""SELECT doc_id, CAST(ceil({_BYTES} / {float(BGZF_PAYLOAD // 64)}) AS BIGINT) + 1 AS blocks, {_BYTES} AS decoded_bytes FROM documents""")
@@ -272,25 +262,24 @@ def u03_distinct_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def k01_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as gzip CSV files and back through the verified members of those files."""
-    path = _folder(spark)
+    path = folder(spark)
     cols = ("l_returnflag", "l_linestatus", "l_quantity")
     _table(spark, sf_dir, "lineitem").select(*cols).write.option("compression", "gzip").csv(path)
-    parts = scan.chunks(scan.members(spark, path + "/*.csv.gz"), DecodeConfig())
     cells = F.split(F.col("value").cast("string"), ",")
-    rows = scan.lines(parts).select(*(cells[i].alias(c) for i, c in enumerate(cols)))
+    rows = scan.lines(scan.members(spark, path + "/*.csv.gz")).select(*(cells[i].alias(c) for i, c in enumerate(cols)))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("rows"), F.round(F.sum(F.col("l_quantity").cast("double")), 2).alias("quantity"))
 
 
 @query("SELECT doc_id, md5(replace(coalesce(text, ''), chr(10), ' ')) AS md5 FROM documents")
 def k19_bgzf_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as lines of BGZF files, read back in ranges of blocks."""
-    path = _folder(spark)
+    path = folder(spark)
     docs = _table(spark, sf_dir, "documents")
     lines = docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.translate(F.coalesce("text", F.lit("")), "\n", " ")).alias("value"))
     register(spark)
     lines.write.format("verified_gzip").option("path", path).option("bgzf", "true").mode("append").save()
     config = DecodeConfig(task_bytes=256 * 1024)
-    rows = scan.lines(scan.chunks(scan.members(spark, path + "/*.bgz", config), config))
+    rows = scan.lines(scan.members(spark, path + "/*.bgz", config), config)
     cells = F.split(F.col("value").cast("string"), "\t", 2)
     return rows.select(cells[0].cast("long").alias("doc_id"), F.md5(cells[1]).alias("md5"))
 
@@ -299,7 +288,7 @@ def k19_bgzf_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s03_member_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concatenated members in bounded files per source, planned by candidates and
     chained; per source: members, bytes, and whether all checksums hold."""
-    path = _folder(spark)
+    path = folder(spark)
     docs = _documents(spark, sf_dir).select("source", "doc_id", gunzip(F.col("packed")).alias("raw"))
     write_concatenated(docs, "source", "doc_id", "raw", path).count()
     config = DecodeConfig(grid_size=4096)

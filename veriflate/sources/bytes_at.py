@@ -7,6 +7,9 @@ import os
 from ..errors import INPUT_IO, TRUNCATED_INPUT, GzipError
 
 
+HADOOP_NAMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 class MemorySource:
     def __init__(self, data: bytes) -> None:
         self.data, self.size = bytes(data), len(data)
@@ -28,7 +31,9 @@ class PathSource:
             if "://" in local:
                 from pyarrow import fs
 
-                system, name = fs.FileSystem.from_uri(path)
+                # Hadoop lists object stores under names of its own.
+                scheme, _, rest = path.partition("://")
+                system, name = fs.FileSystem.from_uri(f"{HADOOP_NAMES.get(scheme, scheme)}://{rest}")
                 self._file = system.open_input_file(name)
                 self.size = self._file.size()
             else:
@@ -63,8 +68,46 @@ class PathSource:
             self._file = None
 
 
-def read_exact(source: MemorySource | PathSource, offset: int, length: int) -> bytes:
-    data = source.read_at(offset, length)
-    if len(data) < length:
-        raise GzipError(TRUNCATED_INPUT, "file ends early", offset + len(data))
-    return data
+class StreamSource:
+    """A file object that can only be read forward: what was read last stays at
+    hand, enough for a decoder that reads page by page. It is not closed, and
+    nothing behind what the decoder asked for is read but the rest of a page."""
+
+    KEEP = 4 << 20
+
+    def __init__(self, stream) -> None:
+        self._stream, self._held, self._first, self._ended = stream, b"", 0, False
+
+    @property
+    def _end(self) -> int:
+        return self._first + len(self._held)
+
+    def _more(self, n: int) -> None:
+        while n > 0 and not self._ended:
+            try:
+                part = self._stream.read(n)
+            except OSError as e:
+                raise GzipError(INPUT_IO, f"cannot read the stream: {e}", self._end) from e
+            self._ended = not part
+            self._held += part or b""
+            n -= len(part or b"")
+
+    @property
+    def size(self) -> int:
+        """Bytes known to exist: one more than was read, until the end was seen."""
+        if not self._ended:
+            self._more(1)
+        return self._end
+
+    def read_at(self, offset: int, length: int) -> bytes:
+        if offset < self._first:
+            raise GzipError(INPUT_IO, "a stream cannot be read again", offset)
+        self._more(offset + length - self._end)
+        out = self._held[offset - self._first : offset - self._first + length]
+        if len(self._held) > 2 * self.KEEP:
+            drop = len(self._held) - self.KEEP
+            self._held, self._first = self._held[drop:], self._first + drop
+        return out
+
+    def close(self) -> None:
+        pass

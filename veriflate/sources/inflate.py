@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from ..config import DecodeConfig
 from ..errors import CHECKSUM_MISMATCH, INVALID_DEFLATE, OUTPUT_LIMIT, SIZE_MISMATCH, TRUNCATED_INPUT, GzipError
+from .bytes_at import MemorySource
 from .framing import Header, parse_header, parse_trailer
 
 
@@ -39,17 +40,21 @@ def read_header(source, offset: int, config: DecodeConfig, member: int = 0) -> H
         step *= 8
 
 
-def decode(source, config: DecodeConfig, start: int = 0, end: int | None = None, first: int = 0, decoded: int = 0, single: bool = False, max_member: int | None = None) -> Iterator[bytes | Member]:
+def decode(source, config: DecodeConfig, start: int = 0, end: int | None = None, first: int = 0, decoded: int = 0, single: bool = False, max_member: int | None = None, blocks: bool = False) -> Iterator[bytes | Member]:
     """Chunks of each member and then its Member, from the verified member
     start `start` up to `end` (the file's end): what follows a member must be
-    the end or another valid header. With single, one member only. Raises
+    the end or another valid header. With single, one member only; with blocks,
+    up to the first member that does not state its block's size. Raises
     GzipError; chunks that came before it are not verified as a member."""
-    size = source.size if end is None else end
     at, index, limit = start, first, config.output_limit
+    size = source.size if end is None else end
     if at >= size and not first and not single:
         raise GzipError(TRUNCATED_INPUT, "empty input", at, index)
-    while at < size or single:
+    # A stream's size grows as it is read.
+    while at < (source.size if end is None else end) or single:
         head = read_header(source, at, config, index)
+        if blocks and head.block_size is None:
+            return
         place, crc, length = at + head.size, 0, 0
         engine = zlib.decompressobj(-15)
         pending = b""
@@ -96,8 +101,6 @@ def decode(source, config: DecodeConfig, start: int = 0, end: int | None = None,
 
 def decode_all(data: bytes, config: DecodeConfig = DecodeConfig()) -> tuple[bytes, list[Member]]:  # noqa: B008
     """The decoded bytes and the members of a complete stream."""
-    from .bytes_at import MemorySource
-
     parts, members = [], []
     for x in decode(MemorySource(data), config):
         (members if isinstance(x, Member) else parts).append(x)
