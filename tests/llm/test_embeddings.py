@@ -63,20 +63,42 @@ def test_large_cells_are_cut(spark, monkeypatch):
     check(spark, rows)
 
 
-def test_recall_of_the_calibrated_count():
-    bits, reach, count = M.calibrate(200_000)
-    lines = M.Lines(64, bits, reach, count)
-    rng = np.random.default_rng(1)
-    a = rng.normal(0, 1, (4000, 64))
+def at_the_threshold(rng, n, dim):
+    a = rng.normal(0, 1, (n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     side = rng.normal(0, 1, a.shape)
     side -= (side * a).sum(1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
-    b = M.COSINE * a + np.sqrt(1 - M.COSINE**2) * side
-    met = (lines.codes(a) == lines.codes(b)) & (np.abs(lines.values(a) - lines.values(b)) <= reach)
+    return a, (M.COSINE + 1e-6) * a + np.sqrt(1 - (M.COSINE + 1e-6) ** 2) * side
+
+
+def test_recall_of_the_calibrated_count():
+    bits, count = M.calibrate(200_000)
+    lines = M.Lines(64, bits, count)
+    a, b = at_the_threshold(np.random.default_rng(1), 4000, 64)
+    near = np.abs(lines.places(a).astype(int) - lines.places(b)) <= M.NEAR
+    met = (lines.cells(a) == lines.cells(b)) & near
     assert (met.sum(1) >= M.NEED).mean() > 0.999
 
 
+def test_recall_holds_at_every_size():
+    for n in (0, 1, 10**3, 10**6, 10**9, 10**12, 10**15):
+        bits, lines = M.calibrate(n)
+        p = M.INSIDE * (1 - np.arccos(M.COSINE) / np.pi) ** bits
+        miss = sum(M.math.comb(lines, i) * p**i * (1 - p) ** (lines - i) for i in range(M.NEED))
+        assert miss <= M.MISS and lines <= M.LINES
+
+
+def test_recall_end_to_end(spark):
+    a, b = at_the_threshold(np.random.default_rng(2), 1500, 32)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    x = np.array([v for _, v in rows]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= M.COSINE).sum() - len(x)
+    got = sum(r.n_links for r in M.near_vectors(frame(spark, rows)).collect())
+    assert want > 2000 and want * 0.999 <= got <= want
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     out = M.near_vectors(frame(spark, [(None, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 4.1])])).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in out) == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
