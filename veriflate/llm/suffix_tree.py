@@ -64,7 +64,7 @@ BLOCK, PIECE = 1_200_000, 256
 #: Blocks that ask together.
 TOGETHER = 8
 #: Partial counts that a worker holds before it writes them out.
-HELD = 1_500_000
+HELD = 700_000
 _END = b"\n"
 
 
@@ -198,7 +198,7 @@ class _Sums:
     def merge(self) -> None:
         if len(self.keys) > 1:
             keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             self.keys, self.counts = [keys[first]], [np.add.reduceat(counts, first)]
