@@ -37,16 +37,22 @@ def test_propagation(spark):
     assert out[6].verdict == "allow" and out[6].trust == out[6].distrust == 0
 
 
-def test_ranks_against_brute_force(spark):
+def test_ranks_against_brute_force(spark, monkeypatch):
+    ranks_against_brute_force(spark)
+    monkeypatch.setattr(M, "SPLIT", 1)
+    ranks_against_brute_force(spark)
+
+
+def ranks_against_brute_force(spark):
     hosts = spark.createDataFrame([("a", 3, 0), ("b", 0, 2), ("c", 0, 0)], "host string, allowed long, blocked long")
     links = spark.createDataFrame([("a", "b", 1), ("a", "c", 3), ("c", "a", 1), ("c", "c", 9)], "src string, dst string, weight long")
     got = {r.host: (r.trust, r.distrust) for r in M.ranks(hosts, links).collect()}
     step = {"a": {"b": 0.25, "c": 0.75}, "c": {"a": 1.0}}
     back = {"b": {"a": 1.0}, "c": {"a": 1.0}, "a": {"c": 1.0}}
 
-    def walk(edges, seed):
+    def walk(edges, seed, rounds):
         rank = {h: 0.15 * s for h, s in seed.items()}
-        for _ in range(M.ROUNDS):
+        for _ in range(rounds):
             new = {h: 0.15 * s for h, s in seed.items()}
             for s, out in edges.items():
                 for d, p in out.items():
@@ -54,9 +60,21 @@ def test_ranks_against_brute_force(spark):
             rank = new
         return rank
 
-    trust, distrust = walk(step, {"a": 1.0}), walk(back, {"b": 1.0})
-    for h in "abc":
-        assert abs(got[h][0] - trust.get(h, 0)) < 1e-9 and abs(got[h][1] - distrust.get(h, 0)) < 1e-9
+    def apart(rounds):
+        trust, distrust = walk(step, {"a": 1.0}, rounds), walk(back, {"b": 1.0}, rounds)
+        return max(max(abs(got[h][0] - trust.get(h, 0)), abs(got[h][1] - distrust.get(h, 0))) for h in "abc")
+
+    assert min(apart(n) for n in range(M.STRIDE, 100, M.STRIDE)) < 1e-9
+    assert apart(500) < M.SETTLED
+
+
+def test_long_pages_and_like_names(spark):
+    long = "http://" + "h" * 30_000 + ".net/" + "p" * 50_000
+    html = " ".join(f'<a href="http://site{i}.net/">' for i in range(5000))
+    rows = [(1, long, html, 1.0, 2.0, "x", 9), (2, "http://site7.net/", None, 1.0, 2.0, "x", 9), (None, "http://good.org/", '<a href="//site9.net">', 1.0, 2.0, "x", 9)]
+    out = {r.page_id: r for r in M.judged(spark.createDataFrame(rows, "page_id long, url string, html string, trust double, distrust double, _ruled string, links long")).collect()}
+    assert out[1].host == "h" * 30_000 + ".net" and out[1].path == "/" + "p" * 50_000
+    assert out[None].verdict == "allow" and out[2].verdict == "allow" and len(out) == 3
 
 
 def test_empty(spark):

@@ -44,11 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL['dir']}"
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the application ends, if it was not dropped before."""
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends
     here, and a lost executor costs only the tasks that it ran."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    path = _new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
@@ -58,7 +66,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def store_split(df: DataFrame, name: str, column: str, kinds: int) -> list[DataFrame]:
     """Like store, as one table for each value 0 .. kinds - 1 of an int column; each can be dropped by itself."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
+    path = _new_path(spark, name)
     df.write.partitionBy(column).parquet(path)
     out = []
     for k in range(kinds):

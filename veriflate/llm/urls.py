@@ -6,11 +6,14 @@ that it is a direct subdomain of, and back. Two personalised PageRanks run over
 them in one table: trust starts at hosts in proportion to their pages that a
 rule allows and follows the links; distrust starts at hosts in proportion to
 their pages that a rule blocks and follows the links backwards (who links to
-blocked hosts is suspect). A host's threshold test is distrust above LIMIT
+blocked hosts is suspect). Ranks only grow from round to round, so that the sum
+of all ranks tells how far they still are from their limit: rounds go on until
+STRIDE of them add less than SETTLED to it. A host's threshold test is distrust above LIMIT
 times trust: such hosts are blocked, all others (unknown ones included) allowed.
 
 Pages meet hosts, never pages: edges are summed before they are shuffled, so a
-host with most pages is one row of the graph.
+host with most pages is one row of the graph. A host with more than SPLIT edges
+(a parent domain of very many) is dealt into parts of its edges.
 
 Cases: a null url or one without :// has an empty host and path, no rule and no
 place in the graph, and is allowed; a null html has no links; repeated rows
@@ -28,9 +31,9 @@ from .common import drop, small, store, table
 #: (verdict, rule): host, then path from the first slash.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-ROUNDS = 10
-#: Rounds between written tables.
-STRIDE = 5
+#: Rounds between written tables, and the growth of all ranks (2 at most) in them that ends the rounds.
+STRIDE, SETTLED = 5, 2e-3
+SPLIT = 100_000
 LIMIT = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -80,18 +83,28 @@ def ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
     both = plain.union(family.withColumn("weight", F.lit(1).cast("long"))).union(family.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).cast("long").alias("weight")))
     both = both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
     ways = both.withColumn("way", F.lit(1)).unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(-1).alias("way")))
-    out = ways.groupBy("way", "src").agg(F.sum("weight").alias("out"))
-    edges = store(ways.join(out, ["way", "src"]).select("way", "src", "dst", (F.lit(DAMPING) * F.col("weight") / F.col("out")).alias("part")), "edges")
+    out = store(ways.groupBy("way", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")), "out")
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
+    edges = ways.join(small(out), ["way", "src"]).select("way", "src", part, "dst", (F.lit(DAMPING) * F.col("weight") / F.col("out")).alias("share"))
+    edges = store(edges, "edges")
+    split = store(out.filter("parts > 1").select("way", F.col("src").alias("host"), "parts"), "split")
+    wide = small(split)
     # Hosts without edges keep their seed; the others share theirs out.
     base = seeds.select("way", "host", (F.lit(1 - DAMPING) * F.col("seed")).alias("rank"))
-    rank, old = base, []
-    for i in range(1, ROUNDS + 1):
-        flow = rank.withColumnRenamed("host", "src").join(edges, ["way", "src"]).select("way", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
-        rank = flow.union(base).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
-        if i % STRIDE == 0:
-            rank = store(rank, "ranks")
-            old.append(rank)
-    drop(seeds, edges, *old[:-1])
+    rank, old, mass = base, [], 0.0
+    while True:
+        for _ in range(STRIDE):
+            dealt = rank.join(wide, ["way", "host"], "left").select("way", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            flow = dealt.join(edges, ["way", "src", "part"]).select("way", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            rank = flow.union(base).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
+        rank = store(rank, "ranks")
+        drop(*old)
+        old = [rank]
+        now = rank.agg(F.sum("rank")).first()[0] or 0.0
+        if now - mass < SETTLED:
+            break
+        mass = now
+    drop(seeds, edges, out, split)
     sums = [F.sum(F.when(F.col("way") == w, F.col("rank")).otherwise(0.0)).alias(n) for w, n in ((1, "trust"), (-1, "distrust"))]
     return rank.groupBy("host").agg(*sums)
 
