@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, in local mode, one of this machine."""
+    """A new folder under spark.checkpoint.dir, which goes when the application
+    ends; where that is unset, in local mode, one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/') if base else 'file://' + tempfile.gettempdir()}/veriflate-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/') if base else 'file://' + tempfile.gettempdir()}/veriflate-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
