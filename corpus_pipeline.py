@@ -6,7 +6,8 @@ quality keeps the documents that the rules and the forest keep. near_duplicates
 keeps the smallest id of each group. personal_data replaces every span by its
 kind in angle brackets and counts n_chars anew. mixing returns each document
 once for every round of its source's stream that takes at least half of it, so
-a document can come twice or not at all. packing returns one row per piece.
+a document can come twice or not at all, in the order of the schedule, in which
+packing then reads them. packing returns one row per piece.
 
 Rows that share a doc_id are kept or dropped together; rows without one are
 judged on their own and are no copies of others. Null texts have no words, so that quality drops them; an empty table stays
@@ -26,8 +27,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in gone(_gone); null ids stay."""
-    return docs.join(small(gone.distinct()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the ids in gone(_gone). Null ids stay; no join has to bring them together."""
+    kept = docs.filter("doc_id is not null").join(small(gone.distinct()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    none = docs.filter("doc_id is null")
+    return kept if none.isEmpty() else kept.union(none)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
