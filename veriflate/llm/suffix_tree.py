@@ -65,6 +65,8 @@ BLOCK, PIECE = 1_200_000, 256
 TOGETHER = 8
 #: Partial counts that a worker holds before it writes them out.
 HELD = 700_000
+#: Counts that are sent on together.
+SENT = 200_000
 _END = b"\n"
 
 
@@ -206,8 +208,10 @@ class _Sums:
 
     def flush(self, kind: int) -> Iterator[pa.RecordBatch]:
         self.merge()
-        for k, n in zip(self.keys, self.counts, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        for keys, counts in zip(self.keys, self.counts, strict=True):
+            for i in range(0, len(keys), SENT):
+                k, n = keys[i : i + SENT], counts[i : i + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
         self.keys, self.counts, self.size = [], [], 0
 
 
