@@ -35,3 +35,40 @@ def test_stages(spark, tmp_path):
 def test_run_and_empty(spark, tmp_path):
     where = tables(spark, tmp_path, [])
     assert C.run(spark, where).count() == 0
+
+
+def test_run_is_its_stages_one_after_the_other(spark, tmp_path):
+    rng = samples.random.Random(8)
+    a, b, c = (" ".join(samples.words(rng, 60)) for _ in range(3))
+    # One id has several texts; copies of them have ids of their own.
+    pairs = samples.texts(9, 60) + [(903, a), (905, a), (905, b), (909, b), (None, c), (None, None), (910, c)]
+    where = tables(spark, tmp_path, pairs)
+    docs = spark.read.parquet(where + "/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        docs = store(stage(spark, docs, where), name)
+        if name == "near_duplicates":
+            texts = [(r.doc_id, r.text) for r in docs.collect()]
+    # 903, 905 and 909 are one group, of which the smallest id stays.
+    assert (903, a) in texts and not {905, 909} & {i for i, _ in texts}
+    # Rows without an id are no copies of others.
+    assert (None, c) in texts and (910, c) in texts
+    want = sorted(map(str, docs.select("doc_id", "text").collect()))
+    whole = {}
+    for r in C.run(spark, where).collect():
+        whole.setdefault(r.doc_id, []).append(r)
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert set(whole) == set(ids) and len(want) == len(ids)
+    for i, pieces in whole.items():
+        # Each time a document comes, its pieces cover it once.
+        if i is not None:
+            assert sum(p.length for p in pieces) == ids.count(i) * pieces[0].doc_tokens
+    sequences = {}
+    for pieces in whole.values():
+        for p in pieces:
+            sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
