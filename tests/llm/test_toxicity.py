@@ -120,3 +120,15 @@ def test_marks_are_not_capped():
     assert len(words) == 3001 + (b"word*" in words) and words[0] == b"grub*" and b"grubs" not in words
     by = M.dealt(words)
     assert [sum(v == i for v in by.values()) for i in range(M.LEXICONS - 1)] == [10, 20, 40, 80, 160] and len(by) == len(words)
+
+
+def test_votes_by_hand():
+    vote = M.voter([b"zonk", b"grub*", b"grubb*"])
+    by = M.dealt([b"zonk", b"grub*", b"grubb*"])
+    assert set(by.values()) == {0}
+    bits, x = vote(b"You grub, ZONK zonk grubber grubbers idiot!! grubx")
+    # zonk twice, grubber and grubbers once each under grubb*, grubx once under grub*, idiot once; grub itself goes no further.
+    assert bits & 1 and bits >> M.LEXICONS & 1 and bits >> M.LEXICONS + 1 & 1 and bits >> M.LEXICONS + 2 & 1
+    assert bits >> M.LEXICONS + 3 & 1 and bits >> M.LEXICONS + 4 & 1
+    assert x[M.VOTERS :] == [M.math.log1p(6), M.math.log1p(4), 100 * 6 / 8]
+    assert vote(b"") == (0, [0.0] * M.FEATURES)

@@ -127,27 +127,33 @@ def voter(words: list[bytes]) -> Callable[[bytes], tuple[int, list[float]]]:
     by = dealt(words)
     whole = {w: i for w, i in by.items() if not w.endswith(b"*")}
     begins = {w[:-1]: i for w, i in by.items() if w.endswith(b"*")}
-    # One search finds the words that begin with a mark.
-    begin = re.compile(rb"(?<![a-z\x80-\xff])(" + b"|".join(sorted(begins, key=lambda w: (-len(w), w))) + rb")[a-z\x80-\xff]") if begins else None
+    # The longest beginning counts.
+    lengths = sorted({len(w) for w in begins}, reverse=True)
+
+    def begun(seen: set[bytes]) -> dict[bytes, bytes]:
+        """The mark that each of the words begins with, and goes beyond."""
+        out: dict[bytes, bytes] = {}
+        for k in lengths:
+            for w in seen:
+                if w[:k] in begins and len(w) > k:
+                    out.setdefault(w, w[:k])
+        return out
 
     def vote(body: bytes) -> tuple[int, list[float]]:
-        low = body.lower()
-        found = _WORD.findall(low)
+        found = _WORD.findall(body.lower())
         seen = set(found)
-        bits, marks, total = 0, set(), 0
+        bits, marks = 0, set()
         for w in seen & whole.keys():
             bits |= 1 << whole[w]
             marks.add(w)
         insults = seen & fixed
         marks |= insults
-        if marks:
-            total = sum(1 for w in found if w in marks)
-        if begin is not None:
-            starts = begin.findall(low)
-            total += len(starts)
-            for w in set(starts):
-                bits |= 1 << begins[w]
-                marks.add(w)
+        hits = dict.fromkeys(marks, 1)
+        for w, mark in begun(seen).items():
+            bits |= 1 << begins[mark]
+            marks.add(mark)
+            hits[w] = hits.get(w, 0) + 1
+        total = sum(map(hits.__getitem__, filter(hits.__contains__, found))) if hits else 0
         bits |= (bool(insults) << LEXICONS) | ((len(marks) > 1) << LEXICONS + 1) | (bool(marks and seen & SECOND) << LEXICONS + 2)
         bits |= (bool(_SHOUT.search(body)) << LEXICONS + 3) | (bool(_MARKS.search(body)) << LEXICONS + 4)
         return bits, [*(float(bits >> i & 1) for i in range(VOTERS)), math.log1p(total), math.log1p(len(marks)), 100.0 * total / max(len(found), 1)]
