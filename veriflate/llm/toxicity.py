@@ -129,14 +129,16 @@ def voter(words: list[bytes]) -> Callable[[bytes], tuple[int, list[float]]]:
     begins = {w[:-1]: i for w, i in by.items() if w.endswith(b"*")}
     # The longest beginning counts.
     lengths = sorted({len(w) for w in begins}, reverse=True)
+    least = min(lengths, default=0)
+    heads = {w[:least] for w in begins}
 
     def begun(seen: set[bytes]) -> dict[bytes, bytes]:
         """The mark that each of the words begins with, and goes beyond."""
         out: dict[bytes, bytes] = {}
-        for k in lengths:
-            for w in seen:
-                if w[:k] in begins and len(w) > k:
-                    out.setdefault(w, w[:k])
+        for w in [w for w in seen if w[:least] in heads]:
+            mark = next((w[:k] for k in lengths if w[:k] in begins and len(w) > k), None)
+            if mark is not None:
+                out[w] = mark
         return out
 
     def vote(body: bytes) -> tuple[int, list[float]]:
