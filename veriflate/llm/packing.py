@@ -29,7 +29,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
-from struct import pack as packed_ints
+from struct import Struct
 
 import numpy as np
 import pandas as pd
@@ -47,7 +47,9 @@ END = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of encoded units that a worker remembers, each counted with UNIT_BYTES
 #: for its objects; units over MEMO_CHARS are not remembered.
-MEMO_BYTES, UNIT_BYTES, MEMO_CHARS = 32 << 20, 190, 48
+MEMO_BYTES, UNIT_BYTES, MEMO_CHARS = 48 << 20, 190, 48
+#: Bytes of so many ids.
+_PACK = [Struct(f"<{n}I").pack for n in range(32)]
 #: Unicode White_Space.
 _WS = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -73,7 +75,9 @@ def _fast_units(spec: dict) -> Callable[[str], list[int]] | None:
     if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
         return None
     ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
-    return tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # The core under the class, where there is one, spares a call a unit.
+    return getattr(encoding, "_core_bpe", encoding).encode_ordinary
 
 
 class Encoder:
@@ -104,16 +108,18 @@ class Encoder:
             return np.array(self.whole(text), "<u4").tobytes()
         units = _UNIT.findall(text)
         memo, unit = self.memo, self.unit
-        fresh = set(units).difference(memo)
-        for u in fresh:
+        long, held = [], self.held
+        for u in set(units).difference(memo):
             i = unit(u)
-            memo[u] = packed_ints(f"<{len(i)}I", *i)
-        out = b"".join(map(memo.__getitem__, units))
-        for u in fresh:
+            memo[u] = ids = _PACK[len(i)](*i) if len(i) < len(_PACK) else np.array(i, "<u4").tobytes()
             if len(u) > MEMO_CHARS:
-                del memo[u]
+                long.append(u)
             else:
-                self.held += UNIT_BYTES + len(u) + len(memo[u])
+                held += UNIT_BYTES + len(u) + len(ids)
+        self.held = held
+        out = b"".join(map(memo.__getitem__, units))
+        for u in long:
+            del memo[u]
         if self.held > MEMO_BYTES:
             # The older half goes.
             for u in list(islice(memo, len(memo) // 2)):
