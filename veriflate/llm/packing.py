@@ -48,8 +48,6 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of encoded units that a worker remembers, each counted with UNIT_BYTES
 #: for its objects; units over MEMO_CHARS are not remembered.
 MEMO_BYTES, UNIT_BYTES, MEMO_CHARS = 48 << 20, 190, 48
-#: Bytes of so many ids.
-_PACK = [Struct(f"<{n}I").pack for n in range(32)]
 #: Unicode White_Space.
 _WS = "\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -94,6 +92,8 @@ class Encoder:
         self.tokenizer = None
         self.memo: dict[str, bytes] = {}
         self.held = 0
+        #: Bytes of so many ids.
+        self.pack = [Struct(f"<{n}I").pack for n in range(32)]
 
     def whole(self, text: str) -> list[int]:
         if self.tokenizer is None:
@@ -107,11 +107,11 @@ class Encoder:
         if any(s in text for s in self.special):
             return np.array(self.whole(text), "<u4").tobytes()
         units = _UNIT.findall(text)
-        memo, unit = self.memo, self.unit
+        memo, unit, pack = self.memo, self.unit, self.pack
         long, held = [], self.held
         for u in set(units).difference(memo):
             i = unit(u)
-            memo[u] = ids = _PACK[len(i)](*i) if len(i) < len(_PACK) else np.array(i, "<u4").tobytes()
+            memo[u] = ids = pack[len(i)](*i) if len(i) < len(pack) else np.array(i, "<u4").tobytes()
             if len(u) > MEMO_CHARS:
                 long.append(u)
             else:
