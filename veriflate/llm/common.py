@@ -4,6 +4,7 @@ intermediate tables, word hashing and forest-shaped reductions."""
 from __future__ import annotations
 
 import ctypes
+import inspect
 import sys
 import tempfile
 import types
@@ -103,18 +104,39 @@ def per_worker(name: str, make: Callable[[], Any]) -> Any:
     return held[name]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system; Spark keeps a worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for a task; afterwards the worker, which Spark keeps, gives freed memory back to the system."""
+    """run for a task, with freed memory given back when it ends."""
 
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        _trim()
 
     return wrapped
 
 
+def trimmed_group(run: Callable) -> Callable:
+    """run for one group (or two cogrouped ones), with freed memory given back behind it."""
+
+    def one(group):
+        out = run(group)
+        _trim()
+        return out
+
+    def two(left, right):
+        out = run(left, right)
+        _trim()
+        return out
+
+    return two if len(inspect.signature(run).parameters) == 2 else one
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a fixed number of entries (about 16 MB)."""
 

@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sums, binary_docs, drop, hashed_words, mix, store_split, table, trimmed
+from .common import Sums, binary_docs, drop, hashed_words, mix, store_split, table, trimmed, trimmed_group
 
 WINDOW = 13
 LOW = 2
@@ -447,10 +447,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts_of = lambda df: df.select("part", "ids", "sizes", "data", "marks").groupBy("part")
     names_of = lambda df: df.select("part", "bucket", "data")
     replies = _answers(names_of(asks)).groupBy("part")
-    again, windows, done = store_split(texts_of(blocks).cogroup(replies).applyInArrow(_windows(buckets, texts), _ROWS), "windows", "kind", 3)
+    again, windows, done = store_split(texts_of(blocks).cogroup(replies).applyInArrow(trimmed_group(_windows(buckets, texts)), _ROWS), "windows", "kind", 3)
     drop(blocks, asks)
     replies = _answers(names_of(windows)).groupBy("part")
-    rest = texts_of(again).cogroup(replies).applyInArrow(_removed(buckets, texts), _ROWS)
+    rest = texts_of(again).cogroup(replies).applyInArrow(trimmed_group(_removed(buckets, texts)), _ROWS)
     cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     if texts:
         cols.append(F.col("kept").cast("string").alias("kept"))

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_docs, drop, hashed_words, mix, store, table, trimmed
+from .common import binary_docs, drop, hashed_words, mix, store, table, trimmed, trimmed_group
 
 #: At most 6, so that DEPTH + 1 bytes are a positive number of 64 bits.
 DEPTH = 6
@@ -60,11 +60,11 @@ CODES = 3_000_000
 #: Slots, as powers of two, of the tables of frequent contexts and of broadcast probabilities.
 SLOTS, CODE_SLOTS = 19, 22
 #: Bytes of text that a worker parses at a time, and that one piece steps through.
-BLOCK, PIECE = 1_200_000, 256
+BLOCK, PIECE = 800_000, 256
 #: Blocks that ask together.
-TOGETHER = 8
+TOGETHER = 12
 #: Partial counts that a worker holds before it writes them out.
-HELD = 700_000
+HELD = 900_000
 #: Counts that are sent on together.
 SENT = 200_000
 _END = b"\n"
@@ -475,7 +475,7 @@ def _probabilities(counts: DataFrame, total: int, kinds: int) -> tuple[DataFrame
     rows, ns = [used, pair[often]], [symbols[used], times[often]]
     # All longer contexts of a code end with the two bytes before its last.
     groups = grams.groupBy(F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(0xFFFF)), F.lit(max(32, kinds // 100_000))).alias("part"))
-    found = store(groups.applyInArrow(_chained(short, least), "j int, code long, n long, value float"), "values")
+    found = store(groups.applyInArrow(trimmed_group(_chained(short, least)), "j int, code long, n long, value float"), "values")
     frequent = found.filter("j >= 0").select("j", "code", "n").toArrow()
     j, code, n = (frequent.column(c).to_numpy() for c in ("j", "code", "n"))
     for i in range(2, DEPTH + 1):
@@ -516,7 +516,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = blocks.filter("row is not null").select("block", "row", "ids", "size", "text")
     types = ", ".join(f"{c} {'float' if t == pa.float32() else 'double' if t == pa.float64() else 'long'}" for c, t in _COLUMNS.items())
     run = _scored(share_of(tree.tables()), share_of(share), frequent, table, total, kinds)
-    parts = store(texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(run, types), "parts")
+    parts = store(texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(trimmed_group(run), types), "parts")
     drop(found, blocks)
     rest = counts.filter((F.col("kind") == 0) & (F.col("n") < HOT * total)).select(F.col("key").alias("word"), "n")
     cold = parts.filter("word is not null").select("row", "word", "part").join(rest, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
