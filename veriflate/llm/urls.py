@@ -32,8 +32,9 @@ from .common import drop, small, store, table
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
 #: Rounds between written tables, and the growth of all ranks (2 at most) in them that ends the rounds.
-STRIDE, SETTLED = 5, 2e-3
-SPLIT = 100_000
+STRIDE, SETTLED = 5, 1e-2
+#: Edges of a part of a host, and rows that one task of a round is given at least.
+SPLIT, FILE = 100_000, 100_000
 LIMIT = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -75,7 +76,9 @@ def _seeds(hosts: DataFrame) -> DataFrame:
 
 def ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
     """hosts(host, allowed, blocked), links(src, dst, weight) -> host, trust, distrust for hosts that a seed reaches."""
-    seeds = store(_seeds(hosts), "seeds")
+    # A round over few edges is a few tasks, whatever the number of shuffle partitions.
+    files = max(1, (hosts.count() + links.count()) // FILE)
+    seeds = store(_seeds(hosts).coalesce(files), "seeds")
     every = hosts.select("host").union(links.select("src")).union(links.select("dst")).distinct()
     parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1)
     family = every.select(F.col("host").alias("src"), parent.alias("dst")).filter("dst <> ''")
@@ -83,11 +86,11 @@ def ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
     both = plain.union(family.withColumn("weight", F.lit(1).cast("long"))).union(family.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).cast("long").alias("weight")))
     both = both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
     ways = both.withColumn("way", F.lit(1)).unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit(-1).alias("way")))
-    out = store(ways.groupBy("way", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")), "out")
+    out = store(ways.groupBy("way", "src").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).coalesce(files), "out")
     part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
     edges = ways.join(small(out), ["way", "src"]).select("way", "src", part, "dst", (F.lit(DAMPING) * F.col("weight") / F.col("out")).alias("share"))
-    edges = store(edges, "edges")
-    split = store(out.filter("parts > 1").select("way", F.col("src").alias("host"), "parts"), "split")
+    edges = store(edges.coalesce(files), "edges")
+    split = store(out.filter("parts > 1").select("way", F.col("src").alias("host"), "parts").coalesce(1), "split")
     wide = small(split)
     # Hosts without edges keep their seed; the others share theirs out.
     base = seeds.select("way", "host", (F.lit(1 - DAMPING) * F.col("seed")).alias("rank"))
@@ -96,7 +99,7 @@ def ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
         for _ in range(STRIDE):
             dealt = rank.join(wide, ["way", "host"], "left").select("way", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
             flow = dealt.join(edges, ["way", "src", "part"]).select("way", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-            rank = flow.union(base).groupBy("way", "host").agg(F.sum("rank").alias("rank"))
+            rank = flow.union(base).groupBy("way", "host").agg(F.sum("rank").alias("rank")).coalesce(files)
         rank = store(rank, "ranks")
         drop(*old)
         old = [rank]
