@@ -32,7 +32,7 @@ from .common import drop, small, store, table
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
 #: Rounds between written tables, and the growth of all ranks (2 at most) in them that ends the rounds.
-STRIDE, SETTLED = 5, 1e-2
+STRIDE, SETTLED = 5, 5e-2
 #: Edges of a part of a host, and rows that one task of a round is given at least.
 SPLIT, FILE = 100_000, 100_000
 LIMIT = 1.0
@@ -91,14 +91,17 @@ def ranks(hosts: DataFrame, links: DataFrame) -> DataFrame:
     edges = ways.join(small(out), ["way", "src"]).select("way", "src", part, "dst", (F.lit(DAMPING) * F.col("weight") / F.col("out")).alias("share"))
     edges = store(edges.coalesce(files), "edges")
     split = store(out.filter("parts > 1").select("way", F.col("src").alias("host"), "parts").coalesce(1), "split")
-    wide = small(split)
+    wide = None if split.isEmpty() else small(split)
     # Hosts without edges keep their seed; the others share theirs out.
     base = seeds.select("way", "host", (F.lit(1 - DAMPING) * F.col("seed")).alias("rank"))
     rank, old, mass = base, [], 0.0
     while True:
         for _ in range(STRIDE):
-            dealt = rank.join(wide, ["way", "host"], "left").select("way", F.col("host").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-            flow = dealt.join(edges, ["way", "src", "part"]).select("way", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            keys, dealt = ["way", "src"], rank.withColumnRenamed("host", "src")
+            if wide is not None:
+                part = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+                keys, dealt = [*keys, "part"], rank.join(wide, ["way", "host"], "left").select("way", F.col("host").alias("src"), "rank", part)
+            flow = dealt.join(edges, keys).select("way", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
             rank = flow.union(base).groupBy("way", "host").agg(F.sum("rank").alias("rank")).coalesce(files)
         rank = store(rank, "ranks")
         drop(*old)
