@@ -149,3 +149,42 @@ def test_verdict_against_a_plain_forest(spark):
             assert r.base_failed and not r.kept
         else:
             assert abs(r.score - score(f)) < 1e-9 and r.kept == (score(f) <= best[1])
+
+
+def test_all_labelled_rows_set_the_threshold(spark, monkeypatch):
+    """10,000 rows a label were the most that counted once, and stretches are many here."""
+    monkeypatch.setattr(M, "STRETCH", 1000, raising=False)
+    rng = np.random.default_rng(4)
+    n = 26_000
+    bad = rng.random(n) < 0.45
+    x = np.round(rng.normal(0, 1, (n, len(M.FEATURES))) + 1.5 * bad[:, None], 2)
+    stats = spark.createDataFrame(M.pa.table({"doc_id": np.arange(n), **{c: np.full(n, 100 * (c == "n_words")) for c in M.COUNTS}, "features": M.pa.array(x.tolist())}))
+    monkeypatch.setattr(M, "statistics", lambda *_: stats)
+    labels = spark.createDataFrame(M.pa.table({"doc_id": np.arange(n), "quality": (~bad).astype(np.int32)}))
+    out = M.judge(stats, labels).orderBy("doc_id").toArrow()
+    order = [r.doc_id for r in stats.select("doc_id").orderBy(M.F.xxhash64("doc_id")).collect()]
+    good = np.array([i for i in order if not bad[i]])
+    assert len(good) > 13_000 and bad.sum() > 11_000
+    forest = M.fit(x[good[::2]], x.min(0), x.max(0))
+    limit = M.calibrate(M.scores(forest, x[good[1::2]]), M.scores(forest, x[bad]))
+    score = out.column("score").to_numpy()
+    assert np.isfinite(limit) and np.allclose(score, M.scores(forest, x), atol=1e-12)
+    assert np.array_equal(out.column("kept").to_numpy(), score <= limit)
+
+
+def test_each_leaf_counts_all_reference_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (30_000, len(M.FEATURES)))
+    low, high = x.min(0), x.max(0)
+    more = np.delete(np.arange(len(x)), np.concatenate(M.draws(len(x))))
+    assert len(more) > 10_000
+    moved = x.copy()
+    moved[more] = high
+    assert not np.array_equal(M.scores(M.fit(x, low, high), x), M.scores(M.fit(moved, low, high), x))
+
+
+def test_threshold_from_scores_that_stand_for_many():
+    rng = np.random.default_rng(2)
+    good, bad = np.round(rng.normal(0.4, 0.03, 5000), 3), np.round(rng.normal(0.5, 0.03, 700), 3)
+    some = [np.unique(v, return_counts=True) for v in (good, bad)]
+    assert M.calibrate(good, bad) == M.calibrate(some[0][0], some[1][0], some[0][1], some[1][1]) < 0.6
