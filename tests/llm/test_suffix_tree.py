@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -112,3 +113,24 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     for other in results[1:]:
         assert [x[:4] for x in other] == [x[:4] for x in results[0]]
         assert np.allclose([x[4] for x in other], [x[4] for x in results[0]], rtol=1e-5)
+
+
+def test_positions_are_looked_up_in_little_memory():
+    rng = samples.random.Random(10)
+    stream = M.Stream([" ".join(samples.words(rng, 150_000, 5000)).encode()])
+    code, real = counted(stream), stream.predicted()
+    assert np.array_equal(M.codes(stream)[real], code) and np.array_equal(M.codes(stream, 1000, 2000), M.codes(stream)[1000:2000])
+    frequent = M.frequent_table(np.unique(code >> np.uint64(8))[:5000])
+    own, n = np.unique(code, return_counts=True)
+    often = M.code_table(own[np.argsort(n)][-5000:], np.full(5000, -1.0, np.float32))
+    tracemalloc.start()
+    size = places = 0
+    for at, one, value in M.rare(stream, frequent, often):
+        places += len(at)
+        size = max(size, len(one))
+        assert np.array_equal(M.codes(stream, int(at[0]), int(at[-1]) + 1)[at - at[0]], one) and np.array_equal(np.isnan(value), np.isnan(M.looked_up(one, often)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    context = code >> np.uint64(8)
+    assert places == (frequent[M._slots(context, M.SLOTS)] != context).sum() and size <= M.STEP
+    assert len(stream.bytes) > 700_000 and most < 12 * len(stream.bytes)

@@ -61,6 +61,8 @@ CODES = 3_000_000
 SLOTS, CODE_SLOTS = 19, 22
 #: Bytes of text that a worker parses at a time, and that one piece steps through.
 BLOCK, PIECE = 800_000, 256
+#: Positions whose probabilities are looked for at a time.
+STEP = 100_000
 #: Blocks that ask together.
 TOGETHER = 12
 #: Partial counts that a worker holds before it writes them out.
@@ -114,17 +116,22 @@ class Stream:
         return real
 
 
-def codes(stream: Stream) -> np.ndarray:
-    """The last DEPTH + 1 bytes at each position as a number."""
-    raw = stream.bytes.astype(np.uint64)
+def codes(stream: Stream, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """The last DEPTH + 1 bytes at each position, or at those from begin to end, as a number."""
+    first = max(begin - DEPTH, 0)
+    raw = stream.bytes[first:end]
     code = np.zeros(len(raw), np.uint64)
+    own = code[DEPTH:]
     for i in range(DEPTH + 1):
-        code[DEPTH:] |= raw[DEPTH - i : len(raw) - i] << np.uint64(8 * i)
-    return code
+        own <<= np.uint64(8)
+        own |= raw[i : i + len(own)]
+    return code[begin - first :]
 
 
 def _slots(keys: np.ndarray, bits: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    return ((keys * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+    out = keys * np.uint64(factor)
+    out >>= np.uint64(64 - bits)
+    return out.view(np.int64)
 
 
 def frequent_table(contexts: np.ndarray) -> np.ndarray:
@@ -165,10 +172,15 @@ def looked_up(code: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return out
 
 
-def rare(stream: Stream, code: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether each position is a predicted one whose DEPTH bytes are not in the table."""
-    context = code >> np.uint64(8)
-    return stream.predicted() & (table[_slots(context, SLOTS)] != context)
+def rare(stream: Stream, frequent: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The predicted positions whose DEPTH bytes are not frequent, STEP positions at a time: places, codes, and the
+    values that are broadcast (NaN: none)."""
+    real = stream.predicted()
+    for a in range(0, len(real), STEP):
+        code = codes(stream, a, a + STEP)
+        context = code >> np.uint64(8)
+        own = np.flatnonzero(real[a : a + STEP] & (frequent[_slots(context, SLOTS)] != context))
+        yield a + own, code[own], looked_up(code[own], often)
 
 
 #: The end of a text as a token; no word has this hash on purpose.
@@ -350,10 +362,7 @@ def _blocked(frequent, often) -> Callable:
             packed = pa.compress(text, codec="zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([row]), pa.array([ids], pa.list_(pa.int64())), pa.array([len(text)]), pa.array([packed], pa.binary()), pa.nulls(1, pa.int64())], names=names)
             row += n
-            stream = Stream(docs)
-            code = codes(stream)
-            code = code[rare(stream, code, frequent.value)]
-            held.append(np.unique(code[np.isnan(looked_up(code, often.value))]))
+            held.append(np.unique(np.concatenate([code[np.isnan(value)] for _, code, value in rare(Stream(docs), frequent.value, often.value)])))
             if len(held) == TOGETHER:
                 yield from asks(block, held)
                 held, block = [], row
@@ -375,17 +384,15 @@ def _scored(tree, words, frequent, often, total: int, kinds: int) -> Callable:
             rows = row + np.arange(len(ids))
             stream = Stream(docs)
             byte = logs(tables, stream.bytes).astype(np.float64)
-            code = codes(stream)
-            own = np.flatnonzero(rare(stream, code, frequent.value))
-            value = looked_up(code[own], often.value)
-            miss = np.flatnonzero(np.isnan(value))
-            if len(miss):
-                wanted = code[own[miss]]
-                spot = np.searchsorted(asked, wanted)
-                if len(asked) == 0 or not np.array_equal(asked[np.minimum(spot, len(asked) - 1)], wanted):
-                    raise ValueError("a block lacks a probability that it asked for")
-                value[miss] = known_values[spot]
-            byte[own] = value
+            for own, code, value in rare(stream, frequent.value, often.value):
+                miss = np.flatnonzero(np.isnan(value))
+                if len(miss):
+                    wanted = code[miss]
+                    spot = np.searchsorted(asked, wanted)
+                    if len(asked) == 0 or not np.array_equal(asked[np.minimum(spot, len(asked) - 1)], wanted):
+                        raise ValueError("a block lacks a probability that it asked for")
+                    value[miss] = known_values[spot]
+                byte[own] = value
             # Behind a document's last token come the next one's marks: they add nothing.
             byte[~stream.predicted()] = 0.0
             part = np.add.reduceat(byte, stream.token)
@@ -515,9 +522,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     share = (hot[order], hot_n[order])
     texts = blocks.filter("row is not null").select("block", "row", "ids", "size", "text")
     types = ", ".join(f"{c} {'float' if t == pa.float32() else 'double' if t == pa.float64() else 'long'}" for c, t in _COLUMNS.items())
-    run = _scored(share_of(tree.tables()), share_of(share), frequent, table, total, kinds)
+    tables, words = share_of(tree.tables()), share_of(share)
+    run = _scored(tables, words, frequent, table, total, kinds)
     parts = store(texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(trimmed_group(run), types), "parts")
     drop(found, blocks)
+    for broadcast in (frequent, table, tables, words):
+        broadcast.destroy()
     rest = counts.filter((F.col("kind") == 0) & (F.col("n") < HOT * total)).select(F.col("key").alias("word"), "n")
     cold = parts.filter("word is not null").select("row", "word", "part").join(rest, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + SMOOTH) / (total + SMOOTH * (kinds + 1)))
