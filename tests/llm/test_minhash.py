@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from tests.llm import samples
@@ -125,3 +127,30 @@ def test_buckets_are_played_in_parts(spark, monkeypatch):
     whole = sorted(map(tuple, M.near_duplicates(samples.frame(spark, pairs)).collect()))
     monkeypatch.setattr(M, "SIDE", 7)
     assert sorted(map(tuple, M.near_duplicates(samples.frame(spark, pairs)).collect())) == whole
+
+
+def test_links_are_confirmed_by_one_sorting_join(spark, monkeypatch):
+    rng = samples.random.Random(23)
+    base = " ".join(samples.words(rng, 200, 5000))
+    pairs = list(enumerate([base, *edited(24, 40, base, 1, 12)])) + samples.texts(25, 40, 100)
+    want, stored, keep = brute(pairs), [], M.store
+
+    def seen(df, name):
+        stored.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    def joins():
+        """Keys of the joins that sort, the last one first, of each table of links."""
+        stored.clear()
+        out = M.near_duplicates(samples.frame(spark, pairs)).collect()
+        assert {r.doc_id: r.component_id for r in out} == want
+        return [re.findall(r"SortMergeJoin \[(\w+)#", plan) for name, plan in stored if name == "links"]
+
+    monkeypatch.setattr(M, "store", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert joins() == [["b"], ["b"]]  # few edges are broadcast
+        monkeypatch.setattr(M, "small", lambda df: df)
+        assert [keys[:2] for keys in joins()] == [["b", "a"], ["b", "a"]]  # more are joined, a first
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -149,12 +149,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bodies)), pa.array([len(x) for x in found], pa.int64()), *longs], names=["id", "n", "items", "bits"])
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of edges(a, an, b, bn) whose full sets are similar enough, as (a, b)."""
+def _confirmed(edges: DataFrame, sets: DataFrame, others: DataFrame) -> DataFrame:
+    """others(a, b) and those of edges(a, an, b, bn) whose full sets are similar enough, as a stored table.
+
+    The set of a is dealt out to the edges first, which then meet the sets of b. Few edges are broadcast, and sets are
+    then sorted for b alone. The links are shuffled once more, so that they are a few files whatever the number of
+    tasks that compared sets."""
+    asked = store(edges, "edges")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("items").alias("left"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("items").alias("right"))
-    both = edges.join(two, ["b", "bn"]).join(one, ["a", "an"]).select("a", "b", F.size("left").alias("p"), F.size("right").alias("q"), F.size(F.array_intersect("left", "right")).cast("long").alias("i"))
-    return both.filter(f"100 * i >= {PERCENT} * (p + q - i)").select("a", "b")
+    both = one.join(small(asked), ["a", "an"]).join(two, ["b", "bn"]).select("a", "b", F.size("left").alias("p"), F.size("right").alias("q"), F.size(F.array_intersect("left", "right")).cast("long").alias("i"))
+    links = store(both.filter(f"100 * i >= {PERCENT} * (p + q - i)").select("a", "b").union(others).distinct(), "links")
+    drop(asked)
+    return links
 
 
 def _ends(x: str, n: str, y: str, m: str) -> list[Column]:
@@ -211,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
     hubs = members.groupBy("b").agg(F.array_distinct(F.array(first, *picks)).alias("hubs")).select("b", F.explode("hubs").alias("h")).select("b", "h.*")
     edges = members.join(hubs, "b").filter("rep <> hub").filter(_fits("n", "hub_n")).select(*_ends("rep", "n", "hub", "hub_n")).distinct()
-    links = store(_confirmed(edges, sets).union(own), "links")
+    links = _confirmed(edges, sets, own)
     roots = components(links)
 
     # Buckets with the same members are one bucket from here on.
@@ -232,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = (F.col("n") + F.col("n2") - _apart("bits", "bits2")) / 2
     could = (F.col("label") != F.col("label2")) & _fits("n", "n2") & (100 * most >= PERCENT * (F.col("n") + F.col("n2") - most))
     edges = inner.join(outer, ["b", "i", "j"]).filter(could).select(*_ends("rep", "n", "rep2", "n2")).distinct()
-    final = store(links.union(_confirmed(edges, sets)).distinct(), "links")
+    final = _confirmed(edges, sets, links)
     drop(links, live_bits)
     roots = components(final)
     drop(final)
