@@ -1,7 +1,9 @@
 import gzip
+import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from veriflate.config import DecodeConfig, WriteConfig
 from veriflate.errors import ConfigError, GzipError
 from veriflate.sources.bytes_at import MemorySource
 from veriflate.sources.deflate_writer import GzipWriter, bgzf, bgzf_block, compress
-from veriflate.sources.framing import BGZF_END, bgzf_link, crc32_combine, header, parse_header
+from veriflate.sources.framing import BGZF_END, bgzf_link, crc32_combine, crc32_folded, header, parse_header
 from veriflate.sources.inflate import Member, decode, decode_all
 from veriflate.sources.planning import BGZF, MEMBERS, SEQUENTIAL, candidates, plan
 from veriflate.sources.datasource import block_parts
@@ -190,3 +192,51 @@ def test_any_bytes_end_in_an_error_or_in_verified_output(data):
         assert e.kind in ("truncated_input", "invalid_header", "invalid_deflate", "checksum_mismatch", "size_mismatch")
     else:
         assert gzip.decompress(data) == out
+
+
+class Counted(MemorySource):
+    """Counts the bytes that are asked for."""
+
+    read = 0
+
+    def read_at(self, offset, length):
+        out = super().read_at(offset, length)
+        self.read += len(out)
+        return out
+
+
+def test_small_members_are_read_about_once():
+    bodies = [b"%d " % i * (i % 300) for i in range(3000)]
+    data = b"".join(map(compress, bodies))
+    source = Counted(data)
+    found = list(decode(source, DecodeConfig()))
+    assert b"".join(x for x in found if isinstance(x, bytes)) == b"".join(bodies)
+    assert sum(isinstance(x, Member) for x in found) == len(bodies)
+    assert source.read < 3 * len(data)
+    # One member from the middle costs no whole page.
+    one = Counted(data * 20)
+    list(decode(one, DecodeConfig(), 0, single=True))
+    assert one.read < 1 << 15
+
+
+@pytest.mark.parametrize("cut", [0, 1, 8, 500, 40_000])
+def test_chunks_are_whole_and_what_came_before_an_end_is_handed_out(cut):
+    data = random.Random(5).randbytes(300_000)
+    packed = compress(data)
+    config, got = DecodeConfig(chunk_size=4096), []
+    try:
+        for x in decode(MemorySource(packed[: len(packed) - cut]), config):
+            if isinstance(x, bytes):
+                got.append(x)
+        assert not cut
+    except GzipError as e:
+        assert cut and e.kind == "truncated_input"
+    assert all(len(x) == 4096 for x in got[:-1]) and data.startswith(b"".join(got)) and sum(map(len, got)) >= len(data) - cut - 100
+
+
+def test_checksums_of_many_pieces_fold():
+    rng = random.Random(6)
+    pieces = [rng.randbytes(rng.choice([0, 0, 1, 7, 3000])) for _ in range(500)]
+    crcs, lengths = (np.array(list(map(f, pieces)), np.int64) for f in (zlib.crc32, len))
+    assert crc32_folded(crcs, lengths) == (zlib.crc32(b"".join(pieces)), sum(map(len, pieces)))
+    assert crc32_folded(crcs[:0], lengths[:0]) == (0, 0)

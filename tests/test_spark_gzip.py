@@ -222,3 +222,10 @@ def test_running_sums_over_ranges(spark):
         at[g] = (index + 1, total + n)
     kept = {r.o for r in streams.within_limit(df, "g", "o", F.col("n"), 3000).collect()}
     assert kept == {o for g, o, n in rows if got[g, o][1] + n <= 3000}
+
+
+def test_rows_that_name_ranges_stay_spread(spark):
+    """A few bytes each, they were one task."""
+    rows = spark.createDataFrame([("p", i) for i in range(400)], "path string, start long")
+    tasks = scan.spread(rows, "path", "start").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
